@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import crosssplit, nearcopies
+from textloom.llm import crosssplit, cutoff, garbled, languages, leaks, nearcopies
 from textloom.session import table
 
 #: Shared SQL: the five-token windows of the samples, delivered copies once.
@@ -15,11 +15,17 @@ s as (select id, any_value(text) as text, any_value(split) as split, any_value(e
 tok as (select id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from s),
 sh as (select distinct id, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] as g from (select id, w, unnest(range(1, len(w) - 3)) as i from tok)),
 n as (select id, count(*) as n from sh group by id),
-both as (select a.id as id_a, b.id as id_b, count(*) as k from sh a join sh b on a.g = b.g and a.id < b.id group by 1, 2),
-pairs as (select id_a, id_b from both join n x on x.id = id_a join n y on y.id = id_b where k >= 0.5 * (x.n + y.n - k))"""
+met as (select a.id as id_a, b.id as id_b, count(*) as k from sh a join sh b on a.g = b.g and a.id < b.id group by 1, 2),
+pairs as (select id_a, id_b from met join n x on x.id = id_a join n y on y.id = id_b where k >= 0.5 * (x.n + y.n - k))"""
 
 _SQL = {
     "p2_found": f"with {_WINDOWS} select id_a, id_b from pairs",
+    "p7_found": r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents where doc_id is not null and text is not null),
+e as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from eval_items where item_id is not null and text is not null),
+dg as (select distinct doc_id, array_to_string(w[i:i+11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d)),
+eg as (select distinct item_id, array_to_string(w[i:i+11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from e))
+select distinct doc_id, item_id from dg join eg using (g)""",
     "p6_found": f"""with {_WINDOWS}, side as (select id, case when eval_set is not null or split in ('calib', 'test') then 2 when split = 'train' then 1 end as role from s)
 select id_a, id_b from pairs join side x on x.id = id_a join side y on y.id = id_b where x.role + y.role = 3""",
 }
@@ -41,7 +47,39 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosssplit.cross_split_report(table(spark, sf_dir, "samples"))
 
 
-_QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p6_found, p6_report)}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.cut_records(table(spark, sf_dir, "samples")).selectExpr("key as id")
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.cut_rates(table(spark, sf_dir, "samples"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.mislabelled_segments(table(spark, sf_dir, "samples"))
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.document_languages(table(spark, sf_dir, "samples"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.garbled_documents(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.garbled_documents(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_groups, p5_found, p5_languages, p6_found, p6_report, p7_found, p7_items, p9_found, p9_restored)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
