@@ -124,7 +124,7 @@ def cut_records(records: DataFrame, key: str = "id", text: str = "text") -> Data
     open_ones = open_ones.where("level is not null").select("key", "n", "level", F.xxhash64(F.expr("left(t, level)")).alias("h"))
     longer = open_ones.join(longer_copies(records, text), ["level", "h"]).where("longest > n").select("key").distinct().withColumn("longer", F.lit(True))
     told = doubt.withColumn("shape", shape).join(hit, "key", "left").join(longer, "key", "left").join(again, "shape", "left")
-    told = told.select("key", F.when(F.col("prefix"), "prefix").when(F.col("longer"), "copy").when(~F.col("again"), "lone").alias("evidence")).where("evidence is not null")
+    told = told.select("key", F.when(F.col("prefix"), "prefix").when(F.col("again"), None).when(F.col("longer"), "copy").otherwise("lone").alias("evidence")).where("evidence is not null")
     return sure.unionByName(told).groupBy("key").agg(F.max("evidence").alias("evidence"))
 
 
