@@ -30,7 +30,8 @@ class LanguageSpec:
     """per_language: labelled texts a language that the fit uses at most (about; by hash of the key).
 
     bits: hashed n-grams.  orders: lengths of the n-grams of a padded word.
-    clip: nats by which one word can speak against a language.  change: nats
+    clip: nats by which one word can speak against a language, so that a
+    name or two of foreign form (a place and date, a credit) make no segment.  change: nats
     that a change of language between sentences costs.  rounds: fits; each
     after the first leaves out texts whose label the last one contradicts.
     """
@@ -39,7 +40,7 @@ class LanguageSpec:
     bits: int = 16
     orders: tuple[int, ...] = (1, 2, 3, 4)
     smoothing: float = 0.2
-    clip: float = 6.0
+    clip: float = 4.5
     change: float = 14.0
     rounds: int = 2
     languages: tuple[str, ...] = field(default=LANGUAGES)
@@ -89,6 +90,7 @@ class WordScores:
             for k in range(rows.shape[1]):
                 rows[:, k] = np.bincount(owner, self.matrix[bucket, k], len(new))
             rows = np.maximum(rows - rows.max(axis=1, keepdims=True), -self.spec.clip).astype(np.float32)
+            rows[[batch.token(i)[0].isnumeric() for i in first[new].tolist()]] = 0  # numbers speak for no language
             hashes, rows = np.concatenate([self.hashes, unique[new]]), np.concatenate([self.rows, rows])
             order = np.argsort(hashes, kind="stable")
             self.hashes, self.rows = hashes[order], rows[order]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import crosssplit, cutoff, garbled, languages, leaks, nearcopies
+from textloom.llm import crosssplit, cutoff, garbled, languages, leaks, mixture, nearcopies, pairdefects, splitplan
 from textloom.session import table
 
 #: Shared SQL: the five-token windows of the samples, delivered copies once.
@@ -55,6 +55,30 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.cut_rates(table(spark, sf_dir, "samples"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairdefects.pair_defects(table(spark, sf_dir, "generations"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairdefects.defect_rates(table(spark, sf_dir, "generations"))
+
+
+def p4_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitplan.assign_splits(table(spark, sf_dir, "samples"), table(spark, sf_dir, "split_targets"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitplan.split_report(table(spark, sf_dir, "samples"), table(spark, sf_dir, "split_targets"))
+
+
+def p8_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.mislabelled_segments(table(spark, sf_dir, "samples"))
 
@@ -79,7 +103,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled_documents(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_groups, p5_found, p5_languages, p6_found, p6_report, p7_found, p7_items, p9_found, p9_restored)}
+_QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_groups, p3_found, p3_rates, p4_assignment, p4_report, p5_found, p5_languages, p6_found, p6_report, p7_found, p7_items, p8_uses, p8_report, p9_found, p9_restored)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
