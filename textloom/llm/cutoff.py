@@ -22,13 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import materialize
+
 #: Decisions need no more than the last line and the one before; longer lines are open sentences anyway.
 TAIL = 800
 LONG_LINE = 60
 KEY_LENGTHS = (16, 10, 8)
 PREFIX_LENGTHS = tuple(int(64 * 2 ** (k / 2)) for k in range(0, 29))
 
-_PLAIN = str.maketrans({"\u00a0": " ", "\u202f": " ", "\u2009": " ", "\u200b": None, "\ufeff": None, "\u00ad": None, "\r": None})
+#: Kinds of spaces made plain, and invisible characters left out.
+_PLAIN = (("\u00a0", " "), ("\u202f", " "), ("\u2009", " "), ("\u200b", ""), ("\ufeff", ""), ("\u00ad", ""), ("\r", ""))
 _CLOSERS = "[\"”»’')\\]]*"
 _END = re.compile(rf"(?:[.!?…。]|[\u0370-\u03ff\u1f00-\u1fff\d][\"”»)]?;)\s?{_CLOSERS}$")
 #: Marks that are put where a text was cut: short bracketed words or dots behind the last word.
@@ -45,22 +48,30 @@ def ending(text: str | None) -> tuple[str, bool, str | None]:
     may be a closing line; it is returned in small letters).  A null text and
     one without letters or numbers is ``whole``: nothing shows a cut.
     """
-    tail = (text or "").translate(_PLAIN).rstrip()
+    tail = text or ""
+    for a, b in _PLAIN:
+        tail = tail.replace(a, b)
+    tail = tail.rstrip()
     base = tail
     for _ in range(3):
-        if not (m := _MARK.search(base)):
+        if base[-1:] not in "])>….":  # no mark ends otherwise
+            break
+        end = base[-40:]  # marks are shorter
+        if not (m := _MARK.search(end)):
             break
-        base = base[: m.start()].rstrip()
+        base = base[: len(base) - len(end) + m.start()].rstrip()
+    if base == tail and _END.search(base[-8:]) and tail[-1] not in ")]":
+        return "whole", False, None
     *before, last = tail.split("\n")
     if before and re.match(r"\s*[(\[].*[)\]]$", last):  # a bracketed line of its own
         return "whole", False, None
-    if not any(c.isalnum() for c in base) or _END.search(base):
+    if not any(c.isalnum() for c in base) or _END.search(base[-8:]):
         return "whole", False, None
     if base != tail:
         return "cut", True, None
     line = last.strip()
     above = before[-1].strip() if before else ""
-    wrapped = len(above) >= 30 and not _END.search(above) and not _CLOSING.match(above)
+    wrapped = len(above) >= 30 and not _END.search(above[-8:]) and not _CLOSING.match(above)
     if len(line) >= LONG_LINE or _INNER_END.search(line) or wrapped:
         return "cut", False, None
     if before and _CLOSING.match(line):
@@ -113,7 +124,7 @@ def cut_records(records: DataFrame, key: str = "id", text: str = "text") -> Data
     An open line that other texts close with as well is a closing line, unless
     longer lines begin with it.
     """
-    ends = endings(records, key, text)
+    ends = materialize(endings(records, key, text).where("state <> 'whole'"), "endings")
     sure = ends.where("state = 'cut'").select("key", F.when(F.col("marked"), "marked").otherwise("open").alias("evidence"))
     doubt = ends.where("state = 'line'").dropDuplicates(["key"])
     hit = doubt.select("key", F.explode(_prefix_keys(F.col("line"))).alias("h")).join(line_prefixes(records, text), "h").select("key").distinct().withColumn("prefix", F.lit(True))
