@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from textloom.plans import corpus_queries, metric_queries, text_queries  # noqa: F401
