@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from textloom.plans import corpus_queries, metric_queries, text_queries  # noqa: F401
+from textloom.plans import corpus_queries, feature_queries, metric_queries, store_queries, text_queries, window_queries  # noqa: F401
