@@ -145,10 +145,11 @@ def mix_report(documents: DataFrame, targets: DataFrame, spec: MixSpec = MixSpec
     every = tokens.agg(F.sum("n_tokens").alias("everything"))
     out = goal.join(used, ["mix_name", "source"], "left").join(there, "source", "left").crossJoin(F.broadcast(every))  # one row
     got = F.coalesce("tokens", F.lit(0))
+    whole = F.sum(got).over(Window.partitionBy("mix_name"))  # a row a source of the mix
     return out.select(
         "mix_name", "source", "target_share", "max_repeats",
         got.cast("long").alias("tokens"), F.coalesce("n_documents", F.lit(0)).cast("long").alias("n_documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
-        F.round(got / F.sum(got).over(Window.partitionBy("mix_name")), 6).alias("share"),
-        F.round(F.sum(got).over(Window.partitionBy("mix_name")) / F.col("everything"), 6).alias("size_reached"),
+        F.round(got / F.when(whole > 0, whole), 6).alias("share"),
+        F.round(whole / F.when(F.col("everything") > 0, F.col("everything")), 6).alias("size_reached"),
         (got >= F.coalesce(F.col("there") * F.col("max_repeats"), F.lit(0)) * 0.999).alias("used_up"),
     )
