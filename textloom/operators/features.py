@@ -166,7 +166,7 @@ def _grams(docs: DataFrame, n: int, chunk: int, least: int) -> DataFrame:
 
 
 def repetition(docs: DataFrame) -> DataFrame:
-    out = S.documents(docs).select("doc_id")
+    out = docs.where("doc_id is not null and text is not null").select("doc_id")
     for n, name in ((2, "bigram"), (3, "trigram"), (4, "4gram")):
         g = _grams(docs, n, 150, 3)
         out = out.join(g.groupBy("doc_id").agg(r6(F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)) / F.sum("c")).alias(f"rep_{name}")), "doc_id", "left")

@@ -14,13 +14,24 @@ from textloom.functions import text as T
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """Documents with a key and a text."""
+    """Documents with a key and a text.
+
+    Splitting texts costs far more than moving them: an input of fewer parts
+    than the session has cores (a table of one small file) is spread first.
+    A large table has parts enough and is read in place.
+    """
+    rows = docs.where("doc_id is not null and text is not null")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def _kept(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null")
 
 
 def paragraph_table(docs: DataFrame) -> DataFrame:
     """(doc_id, para, p): paragraphs numbered from 0."""
-    return documents(docs).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("para", "p"))
+    return _kept(docs).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("para", "p"))
 
 
 def sentence_arrays(docs: DataFrame) -> DataFrame:
@@ -28,7 +39,7 @@ def sentence_arrays(docs: DataFrame) -> DataFrame:
 
     Headings are left out, unless a document has nothing else.
     """
-    rows = documents(docs).select("doc_id", T.paragraphs(F.col("text")).alias("ps"))
+    rows = _kept(docs).select("doc_id", T.paragraphs(F.col("text")).alias("ps"))
     rows = rows.withColumn("ps", F.transform("ps", lambda p, i: F.struct(i.alias("para"), p.alias("p"), T.is_heading(p).alias("h"))))
     rows = rows.withColumn("body", F.filter("ps", lambda x: ~x["h"]))
     rows = rows.withColumn("ps", F.when(F.size("body") > 0, F.col("body")).otherwise(F.col("ps")))
