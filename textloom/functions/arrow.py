@@ -9,15 +9,16 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_unicode(text: pd.Series) -> pd.Series:
     """HTML entities undone and characters composed (NFC); null stays null."""
     return text.map(lambda t: unicodedata.normalize("NFC", html.unescape(t)), na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def compression_ratio(text: pd.Series) -> pd.Series:
     """Mean ratio of zlib 9 over pieces of at most 1000 characters; null under 300 characters."""
 
@@ -45,7 +46,7 @@ def _factors(words: list[str], threshold: float) -> float:
     return len(words) / factors if factors else float(len(words))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mtld(words: pd.Series) -> pd.Series:
     """Lexical diversity: mean of the forward and the backward pass, threshold 0.72; null under fifty words."""
 
@@ -58,7 +59,7 @@ def mtld(words: pd.Series) -> pd.Series:
     return words.map(value)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def top_eigen_share(gram: pd.Series) -> pd.Series:
     """Share of the largest eigenvalue of a centred square matrix given as rows; null under three rows."""
 
