@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -46,17 +47,29 @@ def _factors(words: list[str], threshold: float) -> float:
     return len(words) / factors if factors else float(len(words))
 
 
+def mtld_rows(batches):
+    """Arrow batches (doc_id, w) to (doc_id, voc_mtld).
+
+    For word arrays that are themselves higher-order expressions: a UDF over
+    those is not taken out of the projection.
+    """
+    for b in batches:
+        out = [_factors_mean(w) for w in b.column("w").to_pylist()]
+        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "voc_mtld": pa.array(out, pa.float64())})
+
+
+def _factors_mean(w) -> float | None:
+    if w is None or len(w) < 50:
+        return None
+    w = list(w)
+    return (_factors(w, 0.72) + _factors(w[::-1], 0.72)) / 2
+
+
 @F.pandas_udf(DoubleType())
 def mtld(words: pd.Series) -> pd.Series:
     """Lexical diversity: mean of the forward and the backward pass, threshold 0.72; null under fifty words."""
 
-    def value(w) -> float | None:
-        if w is None or len(w) < 50:
-            return None
-        w = list(w)
-        return (_factors(w, 0.72) + _factors(w[::-1], 0.72)) / 2
-
-    return words.map(value)
+    return words.map(_factors_mean)
 
 
 @F.pandas_udf(DoubleType())

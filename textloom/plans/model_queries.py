@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import arrow as A
-from textloom.functions import text as T
 from textloom.operators import ensemble as E
 from textloom.operators import features as X
 from textloom.operators import sentencetable as S
@@ -26,7 +25,7 @@ def q_normalize_unicode(spark, sf_dir):
 @query("q_mtld")
 def q_mtld(spark, sf_dir):
     w = S.word_arrays(_docs(spark, sf_dir)).select("doc_id", F.transform("w", lambda x: x["word"]).alias("w"))
-    return w.select("doc_id", F.round(A.mtld("w"), 6).alias("voc_mtld"))
+    return w.mapInArrow(A.mtld_rows, "doc_id long, voc_mtld double").select("doc_id", F.round("voc_mtld", 6).alias("voc_mtld"))
 
 
 @query("q_compression")
