@@ -43,34 +43,49 @@ def winnow(docs: DataFrame, key: str, text: str = "text", hashed=_hash) -> DataF
     return long.unionByName(short)
 
 
+def sharing(prints: DataFrame, index: DataFrame) -> DataFrame:
+    """(key, ref, shared): all references that share a fingerprint with a text; no cap.
+
+    A run of eight equal words has four equal 5-grams, so that its texts always
+    share one.
+    """
+    return prints.join(index.select(F.col("key").alias("ref"), "h"), "h").groupBy("key", "ref").agg(F.count("*").alias("shared"))
+
+
 def candidates(prints: DataFrame, index: DataFrame, top: int = 20) -> DataFrame:
     """(key, ref, shared, rank): references by shared fingerprints, the best ``top`` of each text.
 
     Ties go to the smaller reference.  The top is an operator's parameter: a
     report of the best, not a bound on what is compared.
     """
-    hits = prints.join(index.select(F.col("key").alias("ref"), "h"), "h").groupBy("key", "ref").agg(F.count("*").alias("shared"))
+    hits = sharing(prints, index)
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("shared"), "ref"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def containment(pairs: DataFrame, left: DataFrame, right: DataFrame, n: int) -> DataFrame:
-    """(key, ref, containment): share of a text's n-grams, with repeats, that its reference has."""
+def containment(pairs: DataFrame, left: DataFrame, right: DataFrame, n: int, many: bool = False) -> DataFrame:
+    """(key, ref, containment): share of a text's n-grams, with repeats, that its reference has.
+
+    many: where pairs are nearly all that share anything, grams meet first and
+    pairs after; the rows are the same.
+    """
     total = left.groupBy("key").agg(F.count("*").alias("n"))
     mine = left.groupBy("key", "g").agg(F.count("*").alias("c"))
     theirs = right.select(F.col("key").alias("ref"), "g").distinct()
-    hit = pairs.select("key", "ref").join(mine, "key").join(theirs, ["ref", "g"]).groupBy("key", "ref").agg(F.sum("c").alias("k"))
+    met = mine.join(theirs, "g") if many else pairs.select("key", "ref").join(mine, "key").join(theirs, ["ref", "g"])
+    hit = met.groupBy("key", "ref").agg(F.sum("c").alias("k"))
     return pairs.select("key", "ref").join(total, "key", "left").join(hit, ["key", "ref"], "left").select("key", "ref", r6(F.coalesce("k", F.lit(0)) / F.col("n")).alias(f"containment{n}"))
 
 
-def exact_runs(pairs: DataFrame, left: DataFrame, right: DataFrame, least: int = 8) -> DataFrame:
+def exact_runs(pairs: DataFrame | None, left: DataFrame, right: DataFrame, least: int = 8) -> DataFrame:
     """(key, ref, start, ref_start, length): maximal runs of equal words of at least ``least``.
 
     Equal 5-grams meet on their diagonal; gaps and islands join neighbours.
-    left, right: 5-grams (key, pos, g).
+    left, right: 5-grams (key, pos, g).  Without pairs, the runs of every text
+    with every reference.
     """
-    a = pairs.select("key", "ref").join(left.select("key", F.col("pos").alias("pa"), "g"), "key")
-    hits = a.join(right.select(F.col("key").alias("ref"), F.col("pos").alias("pb"), "g"), ["ref", "g"]).withColumn("diag", F.col("pa") - F.col("pb"))
+    a, b = left.select("key", F.col("pos").alias("pa"), "g"), right.select(F.col("key").alias("ref"), F.col("pos").alias("pb"), "g")
+    hits = (a.join(b, "g") if pairs is None else pairs.select("key", "ref").join(a, "key").join(b, ["ref", "g"])).withColumn("diag", F.col("pa") - F.col("pb"))
     order = Window.partitionBy("key", "ref", "diag").orderBy("pa")
     hits = hits.withColumn("island", F.col("pa") - F.row_number().over(order))
     runs = hits.groupBy("key", "ref", "diag", "island").agg(F.min("pa").alias("start"), F.min("pb").alias("ref_start"), (F.count("*") + GRAM - 1).alias("length"))

@@ -10,7 +10,7 @@ from textloom.operators import similarity as M
 from textloom.operators import windows as W
 from textloom.operators.features import PUNCTUATION
 from textloom.plans import sqlparts as P
-from textloom.plans.catalogue import query
+from textloom.plans.catalogue import query, registered_sql
 from textloom.session import table
 
 
@@ -209,6 +209,51 @@ def q_tfidf_cosine(spark, sf_dir):
     return M.tfidf_cosine(pairs, M.tokens(s, "id"), M.tokens(r, "ref_id"))
 
 
+# The five queries above keep five references a text, as their SQL says. Below are all references that share a fingerprint,
+# with the same SQL over all of them, and the operator's top of twenty.
+
+_SHARING = f"{_PRINTS}, cd as (select fs.key as key, fr.key as ref, count(*) as shared from fs join fr using (h) group by 1, 2)"
+
+
+def _uncapped(name: str) -> str:
+    return registered_sql(name).replace(_CAND, _SHARING)
+
+
+def _all_pairs(spark, sf_dir):
+    s, r = _lib(spark, sf_dir)
+    return s, r, M.sharing(M.winnow(s, "id", hashed=_md5), M.winnow(r, "ref_id", hashed=_md5))
+
+
+@query("q_candidates_20", f"with {_SHARING} select key, ref, shared, rank from (select *, row_number() over (partition by key order by shared desc, ref) as rank from cd) where rank <= 20")
+def q_candidates_20(spark, sf_dir):
+    s, r = _lib(spark, sf_dir)
+    return M.candidates(M.winnow(s, "id", hashed=_md5), M.winnow(r, "ref_id", hashed=_md5))
+
+
+@query("q_containment_all", _uncapped("q_containment"))
+def q_containment_all(spark, sf_dir):
+    s, r, pairs = _all_pairs(spark, sf_dir)
+    return M.containment(pairs, M.grams(s, "id", 5), M.grams(r, "ref_id", 5), 5, many=True)
+
+
+@query("q_exact_runs_all", _uncapped("q_exact_runs"))
+def q_exact_runs_all(spark, sf_dir):
+    s, r = _lib(spark, sf_dir)
+    return M.exact_runs(None, M.grams(s, "id", 5), M.grams(r, "ref_id", 5))
+
+
+@query("q_coverage_all", _uncapped("q_coverage"))
+def q_coverage_all(spark, sf_dir):
+    s, r = _lib(spark, sf_dir)
+    return M.coverage(M.exact_runs(None, M.grams(s, "id", 5), M.grams(r, "ref_id", 5)), M.tokens(s, "id"))
+
+
+@query("q_tfidf_cosine_all", _uncapped("q_tfidf_cosine"))
+def q_tfidf_cosine_all(spark, sf_dir):
+    s, r, pairs = _all_pairs(spark, sf_dir)
+    return M.tfidf_cosine(pairs, M.tokens(s, "id"), M.tokens(r, "ref_id"))
+
+
 @query("q_similarity_report")
 def q_similarity_report(spark, sf_dir):
     s, r = _lib(spark, sf_dir)
