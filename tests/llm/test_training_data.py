@@ -100,6 +100,22 @@ def test_open_lines_are_told_by_prefixes(spark):
     assert got == {"b": "prefix", "e": "lone"}
 
 
+def _cuts(spark, rows):
+    return {r.key: r.evidence for r in cutoff.cut_records(spark.createDataFrame(rows, "id string, text string")).collect()}
+
+
+def test_open_lines_are_verified(spark):
+    rows = [("a", "It was so.\n\nDie Wohnung ist klein, aber sie liegt an einem Platz."), ("b", "One.\n\nDi"), ("c", "Two.\n\nDi")]
+    assert _cuts(spark, rows) == {"b": "prefix", "c": "prefix"}
+    rows = [("a", "One.\nThanks in advance"), ("b", "Two.\nThanks in advance"), ("c", "Three.\nThanks including all the friends who came along.")]
+    assert _cuts(spark, rows) == {}
+
+
+def test_a_longer_copy_is_asked_before_other_texts(spark):
+    rows = [("a", "The same long beginning stands here.\n\nQuite gre"), ("b", "The same long beginning stood here.\n\nQuite gre"), ("c", "The same long beginning stands here.\n\nQuite grey")]
+    assert _cuts(spark, rows) == {"a": "copy", "c": "lone"}
+
+
 PAIRS = [
     ("continue", "Carry on in the manner of this text.\n\nThe road was quiet and the house on the hill was empty that day.", None, "empty"),
     ("continue", "p", "```\n```", "empty"), ("continue", "p", "(empty)", "empty"), ("polish", "p", "<text></text>", "empty"),

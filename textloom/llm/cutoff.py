@@ -4,10 +4,11 @@ A text is cut where its last sentence has no end.  Three kinds of ending have
 none: a sentence that breaks off, a sentence that breaks off and bears a mark
 put after it ("[...]", "(more)", an ellipsis), and a closing line that needs no
 final mark (list item, heading, caption, greeting).  The first two are told
-from the third by prefixes: fixed-length prefixes of all terminated lines of
-the corpus are hashed, and an open last line that is a prefix of longer ones
-elsewhere is a broken sentence.  Whole texts are compared in the same way:
-hashes of prefixes of geometric lengths find longer copies of an open text.
+from the third by prefixes: terminated lines of the corpus meet open last lines
+by fixed-length prefixes, and an open last line that is verified to be a strict
+prefix of a longer one is a broken sentence.  Whole texts are compared in the
+same way: hashes of prefixes of geometric lengths propose longer copies of an
+open text, and the texts decide.
 
 A prefix that ends with a sentence is no evidence (a text shortened at a
 sentence's end is whole), so that prefixes alone can't decide; the ending
@@ -27,8 +28,10 @@ from textloom.session import materialize
 #: Decisions need no more than the last line and the one before; longer lines are open sentences anyway.
 TAIL = 800
 LONG_LINE = 60
-KEY_LENGTHS = (16, 10, 8)
-PREFIX_LENGTHS = tuple(int(64 * 2 ** (k / 2)) for k in range(0, 29))
+#: Lines of under eight characters (STUB) meet longer ones at their own length, the shapes of others at the longest of these; then they are compared.
+STUB = 8
+KEY_LENGTHS = (1, 4, 8, 16, 32)
+PREFIX_LENGTHS = (16, 32) + tuple(int(64 * 2 ** (k / 2)) for k in range(0, 29))
 
 #: Kinds of spaces made plain, and invisible characters left out.
 _PLAIN = (("\u00a0", " "), ("\u202f", " "), ("\u2009", " "), ("\u200b", ""), ("\ufeff", ""), ("\u00ad", ""), ("\r", ""))
@@ -39,14 +42,19 @@ _MARK = re.compile(r"(?:(?<=[^\n\s])[ \t]*[\[(<][^\[\]()<>\n]{1,24}[\])>]|\s?(?:
 _INNER_END = re.compile(rf"(?:[^\W\d_]{{2}}|\d|[)»”\"%])\s?(?:[.!?…]|(?<=[\u0370-\u03ff\u1f00-\u1fff]);){_CLOSERS}\s+\S")
 #: Closing lines by their form: list item or tag, numbered caption or heading, credit, date, count of parts, bracketed or smiling line, postscript.
 _CLOSING = re.compile(r"^(?:[-–—*•#>].*|[^\W\d_]+\.? ?\d+ ?[:.\-–—].*|[^\W\d_]+ ?: \S.*|.*\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|(?:\S+ ){1,4}\d+|[(\[].*[)\]]|.*[:;]-?[)D]|P\. ?S\..*)$")
+#: Of these, a few words and a number: the start of a sentence may look so too.
+_COUNTED = re.compile(r"^(?:\S+ ){1,4}\d+$")
+_ITEM = re.compile(_CLOSING.pattern.replace(r"|(?:\S+ ){1,4}\d+", ""))
 
 
 def ending(text: str | None) -> tuple[str, bool, str | None]:
     """(state, marked, line) of a text or its tail.
 
     state: ``whole``, ``cut`` or ``line`` (an open last line of its own that
-    may be a closing line; it is returned in small letters).  A null text and
-    one without letters or numbers is ``whole``: nothing shows a cut.
+    may be a closing line; it is returned in small letters).  A last line with
+    a closing line's form is ``whole`` and returned too: longer lines may
+    overrule the form.  A null text and one without letters or numbers is
+    ``whole``: nothing shows a cut.
     """
     tail = text or ""
     for a, b in _PLAIN:
@@ -79,38 +87,78 @@ def ending(text: str | None) -> tuple[str, bool, str | None]:
     return "line", False, line.lower()
 
 
+def _form(state: str, line: str | None) -> str | None:
+    """``item`` or ``count`` where a last line has a closing line's form."""
+    if state != "whole" or line is None:
+        return None
+    return "count" if _COUNTED.match(line) and not _ITEM.match(line) else "item"
+
+
+def _above(tail: str) -> str:
+    """The letters before the last line, in small letters; copies of one cut have the same."""
+    return "".join(c for c in tail.rstrip().rpartition("\n")[0][-80:].lower() if c.isalnum())[-30:]
+
+
 def _ending_stage(batches):
     for b in batches:
         state, marked, line = zip(*map(ending, b.column("tail").to_pylist())) if b.num_rows else ((), (), ())
-        yield pa.RecordBatch.from_pydict({"key": b.column("key"), "sig": b.column("sig"), "n": b.column("n"), "state": pa.array(state, pa.string()), "marked": pa.array(marked, pa.bool_()), "line": pa.array(line, pa.string())})
+        form = [_form(*x) for x in zip(state, line)]
+        above = [_above(t) if x is not None else None for t, x in zip(b.column("tail").to_pylist(), line)]
+        yield pa.RecordBatch.from_pydict({"key": b.column("key"), "above": pa.array(above, pa.string()), "state": pa.array(state, pa.string()), "marked": pa.array(marked, pa.bool_()), "line": pa.array(line, pa.string()), "form": pa.array(form, pa.string())})
 
 
 def endings(records: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, sig, n, state, marked, line): how each text ends; see ``ending``."""
-    rows = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("sig"), F.length(text).alias("n"), F.right(F.rtrim(F.col(text)), F.lit(TAIL)).alias("tail"))
-    return rows.mapInArrow(_ending_stage, f"key {dict(records.dtypes)[key]}, sig long, n int, state string, marked boolean, line string")
+    """(key, above, state, marked, line, form): how each text ends; see ``ending``."""
+    rows = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.right(F.rtrim(F.col(text)), F.lit(TAIL)).alias("tail"))
+    return rows.mapInArrow(_ending_stage, f"key {dict(records.dtypes)[key]}, above string, state string, marked boolean, line string, form string")
 
 
-def _prefix_keys(line: Column) -> Column:
-    """Hashes of the prefixes of a line, from its first and from its second word."""
-    rest = F.regexp_replace(line, r"^\S+\s+", "")
-    keys = [F.when(F.length(line) >= n, F.xxhash64(F.lit(n), F.substring(line, 1, n))) for n in KEY_LENGTHS]
-    keys.append(F.when((F.length(rest) >= 16) & (rest != line), F.xxhash64(F.lit(-16), F.substring(rest, 1, 16))))
-    return F.array_compact(F.array(*keys))
+def _shape(line: Column | str) -> Column:
+    """A line with every number as 9."""
+    return F.regexp_replace(line, r"\d+", "9")
 
 
-def line_prefixes(records: DataFrame, text: str) -> DataFrame:
-    """(h): hashed prefixes of all terminated lines of at least forty characters."""
-    lines = records.select(F.explode(F.split(F.translate(F.col(text), "  ​\r", "  "), "\n")).alias("line")).where(F.length("line") >= 40).where(F.col("line").rlike("[.!?…][\"”»’')\\]]*\\s*$|\\p{IsGreek};\\s*$"))
-    return lines.select(F.explode(_prefix_keys(F.lower(F.substring(F.ltrim("line"), 1, 48)))).alias("h")).distinct()
+def ended_lines(records: DataFrame, text: str) -> DataFrame:
+    """(line): the first hundred characters, in small letters, of all terminated lines of at least forty characters."""
+    lines = records.select(F.explode(F.split(F.translate(F.col(text), "   ​﻿­\r", "   "), "\n")).alias("line")).where(F.length("line") >= 40).where(F.col("line").rlike("[.!?…][\"”»’')\\]]*\\s*$|\\p{IsGreek};\\s*$"))
+    return lines.select(F.lower(F.substring(F.ltrim("line"), 1, 100)).alias("line")).distinct()
 
 
-def longer_copies(records: DataFrame, text: str) -> DataFrame:
-    """(level, h, longest): for each hashed prefix of a geometric length, the longest text that has it."""
-    level = F.array(*[F.lit(x) for x in PREFIX_LENGTHS])
-    rows = records.select(F.col(text).alias("t"), F.length(text).alias("n")).where("n >= 64")
-    rows = rows.select("t", "n", F.explode(F.filter(level, lambda x: x <= F.col("n"))).alias("level"))
-    return rows.groupBy("level", F.xxhash64(F.expr("left(t, level)")).alias("h")).agg(F.max("n").alias("longest"))
+def begun_lines(open_lines: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line, exact): the open lines that longer ended lines begin with; exact is false where only their numbers differ.
+
+    Short lines are compared as they are; longer ones meet at a prefix of
+    their shape and are verified in full.
+    """
+    short, first = open_lines.where(f"length(line) < {STUB}").select("line").distinct(), F.explode(F.array(*[F.substring("line", 1, n) for n in range(1, STUB)]))
+    hit = short.join(lines.select(first.alias("line")), "line", "left_semi").select("line", F.lit(True).alias("exact"))
+    levels = F.array(*[F.lit(n) for n in KEY_LENGTHS])
+    at = F.array_max(F.filter(levels, lambda n: n <= F.length("shape")))
+    mine = open_lines.where(f"length(line) >= {STUB}").select("line").distinct().withColumn("shape", _shape("line")).withColumn("level", at)
+    mine = mine.withColumn("start", F.expr("left(shape, level)"))
+    theirs = lines.select(F.col("line").alias("other"), _shape("line").alias("other_shape")).select("other", "other_shape", F.explode(levels).alias("level")).withColumn("start", F.expr("left(other_shape, level)"))
+    wanted = mine.select("level", "start").distinct()
+    met = mine.join(theirs.join(wanted, ["level", "start"], "left_semi"), ["level", "start"]).where(F.startswith("other_shape", "shape") & (F.length("other_shape") > F.length("shape")))
+    exact = F.startswith("other", "line") & (F.length("other") > F.length("line"))
+    return hit.unionByName(met.groupBy("line").agg(F.max(exact).alias("exact")))
+
+
+def longer_copies(records: DataFrame, key: str, text: str, asked: DataFrame) -> DataFrame:
+    """(key): the asked texts of at least sixteen characters that are strict prefixes of a longer text whose line goes on.
+
+    Prefixes of geometric lengths propose pairs; the texts decide.
+    """
+    levels = F.array(*[F.lit(x) for x in PREFIX_LENGTHS])
+    texts = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("t"))
+    mine = texts.join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"]).withColumn("t", F.regexp_replace("t", r"\s+$", "")).withColumn("n", F.length("t"))
+    mine = mine.withColumn("level", F.array_max(F.filter(levels, lambda x: x <= F.col("n")))).where("level is not null").withColumn("h", F.xxhash64(F.expr("left(t, level)")))
+    mine = materialize(mine, "open")
+    theirs = texts.select("t", F.xxhash64("t").alias("sig"), F.length("t").alias("n")).select("t", "sig", "n", F.explode(F.filter(levels, lambda x: x < F.col("n"))).alias("level")).select("sig", "n", "level", F.xxhash64(F.expr("left(t, level)")).alias("h"))
+    pairs = mine.select("key", F.col("n").alias("own"), "level", "h").join(theirs, ["level", "h"]).where("n > own").select("key", "sig").distinct()
+    pairs = materialize(pairs, "proposed")
+    long = texts.select(F.xxhash64("t").alias("sig"), F.col("t").alias("other")).join(pairs.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"])
+    both = pairs.join(mine.select("key", "t", "n"), "key").join(long, "sig")
+    return both.where(F.startswith("other", "t") & F.expr("substring(other, n + 1, 1)").rlike(r"[^\n\r]") & F.expr("substring(other, n + 1)").rlike(r"^[^\n]*\S")).select("key").distinct()
 
 
 def cut_records(records: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -121,21 +169,23 @@ def cut_records(records: DataFrame, key: str = "id", text: str = "text") -> Data
     on), ``lone`` (an open last line no other text closes with).
 
     Null keys and texts, empty texts and repeated rows give no rows or one.
-    An open line that other texts close with as well is a closing line, unless
-    longer lines begin with it.
+    An open line that other texts close with as well (not copies, whose line
+    before is the same) is a closing line, and so
+    is one with a closing line's form, unless a longer line begins with it or
+    a longer copy goes on.  A line of a few words and a number, or an open
+    line that no other text closes with, may differ from longer lines in its
+    numbers; list items, captions, tags and dates may not.
     """
-    ends = materialize(endings(records, key, text).where("state <> 'whole'"), "endings")
+    ends = materialize(endings(records, key, text).where("state <> 'whole' or line is not null"), "endings")
     sure = ends.where("state = 'cut'").select("key", F.when(F.col("marked"), "marked").otherwise("open").alias("evidence"))
-    doubt = ends.where("state = 'line'").dropDuplicates(["key"])
-    hit = doubt.select("key", F.explode(_prefix_keys(F.col("line"))).alias("h")).join(line_prefixes(records, text), "h").select("key").distinct().withColumn("prefix", F.lit(True))
-    shape = F.regexp_replace("line", r"\d+", "9")
-    again = doubt.groupBy(shape.alias("shape")).agg((F.countDistinct("sig") > 1).alias("again"))
-    level = F.array_max(F.filter(F.array(*[F.lit(x) for x in PREFIX_LENGTHS]), lambda x: x <= F.col("n")))
-    open_ones = records.select(F.col(key).alias("key"), F.col(text).alias("t")).join(doubt.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "t", F.length("t").alias("n")).withColumn("level", level)
-    open_ones = open_ones.where("level is not null").select("key", "n", "level", F.xxhash64(F.expr("left(t, level)")).alias("h"))
-    longer = open_ones.join(longer_copies(records, text), ["level", "h"]).where("longest > n").select("key").distinct().withColumn("longer", F.lit(True))
-    told = doubt.withColumn("shape", shape).join(hit, "key", "left").join(longer, "key", "left").join(again, "shape", "left")
-    told = told.select("key", F.when(F.col("prefix"), "prefix").when(F.col("again"), None).when(F.col("longer"), "copy").otherwise("lone").alias("evidence")).where("evidence is not null")
+    doubt = ends.where("line is not null").dropDuplicates(["key"]).withColumn("shape", _shape("line"))
+    hit = begun_lines(doubt, ended_lines(records, text))
+    longer = longer_copies(records, key, text, doubt).withColumn("longer", F.lit(True))
+    again = doubt.groupBy("shape").agg((F.countDistinct("above") > 1).alias("again"))
+    told = doubt.join(hit, "line", "left").join(longer, "key", "left").join(again, "shape", "left")
+    alike = F.col("exact").isNotNull()
+    why = F.when(F.col("exact"), "prefix").when(F.col("longer"), "copy").when(F.col("again") | (F.col("form") == "item"), None).when(alike, "prefix").when(F.col("form").isNull(), "lone")
+    told = told.select("key", why.alias("evidence")).where("evidence is not null")
     return sure.unionByName(told).groupBy("key").agg(F.max("evidence").alias("evidence"))
 
 
