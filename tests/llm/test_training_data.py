@@ -104,6 +104,11 @@ def _cuts(spark, rows):
     return {r.key: r.evidence for r in cutoff.cut_records(spark.createDataFrame(rows, "id string, text string")).collect()}
 
 
+def test_longer_lines_overrule_a_closing_form(spark):
+    rows = [("a", "All ended well.\n\nAm Ende sind die 79 Seiten noch lange nicht alle gelesen."), ("b", "Something else.\n\nAm Ende sind die 91"), ("c", "It went.\n\n- salt and pep"), ("d", "Long list.\n- salt and pepper are what the kitchen always needs."), ("e", "One.\n\nPart 2 of 5"), ("f", "Two.\n- salt"), ("g", "Three.\n\nFigure 9: a road"), ("h", "Four.\nFigure 3: a road that goes on for forty characters.")]
+    assert _cuts(spark, rows) == {"b": "prefix", "c": "prefix", "f": "prefix"}
+
+
 def test_open_lines_are_verified(spark):
     rows = [("a", "It was so.\n\nDie Wohnung ist klein, aber sie liegt an einem Platz."), ("b", "One.\n\nDi"), ("c", "Two.\n\nDi")]
     assert _cuts(spark, rows) == {"b": "prefix", "c": "prefix"}

@@ -83,7 +83,7 @@ def ending(text: str | None) -> tuple[str, bool, str | None]:
     if len(line) >= LONG_LINE or _INNER_END.search(line) or wrapped:
         return "cut", False, None
     if before and _CLOSING.match(line):
-        return "whole", False, None
+        return "whole", False, line.lower()
     return "line", False, line.lower()
 
 
