@@ -179,6 +179,15 @@ def test_near_duplicate_of_train_is_found(spark):
     assert [r.id for r in C.near_duplicates_of_train(rows).collect()] == ["b"]
 
 
+def test_minhash_keeps_copies_and_equal_signatures(spark):
+    base = [f"word{i}" for i in range(400)]
+    texts = {1: base, 2: base, 3: [*base, "more"], 4: [f"other{i}" for i in range(60)]}
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    assert {tuple(r) for r in C.minhash_candidates(docs).collect()} == {(1, 2, True), (1, 3, False)}
+    sig = {r.key: r.sh for r in C.window_sets(docs, "doc_id", "text", 5, 64).collect()}
+    assert sig[1] == sig[3]
+
+
 def test_hybrid_segments_tile_the_text(spark, sf_dir):
     docs = S.documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for r in C.hybrids(docs, S.sentence_table(docs)).collect():

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from textloom.functions import lexicons as L
 from textloom.functions import text as T
 from textloom.functions.tokenarrays import TokenBatch, mix64, window_hashes
+from textloom.session import materialize
 
 
 def seeded(*parts: Column | str, seed: str = "7") -> Column:
@@ -265,16 +266,22 @@ def near_duplicates_of_train(samples: DataFrame, threshold: float = 0.5, width:
 
 
 def minhash_candidates(docs: DataFrame, perms: int = 64, rows: int = 4, width: int = 5) -> DataFrame:
-    """(a, b): documents whose MinHash signatures agree in a band.
+    """(a, b, same): documents whose MinHash signatures agree in a band, and those whose window sets are equal.
 
-    Documents with equal window sets are one entry (the least id stands for
-    them), so that a band bucket never holds copies.
+    Documents with equal window sets are one class (the least id stands for
+    it), so that a band bucket never holds copies.  ``same`` is false for a
+    pair of two classes, by their ids, equal signatures included; it is true
+    for a class and each further document in it (a is the class).
     """
-    sig = window_sets(docs, "doc_id", "text", width, perms).select(F.col("key").alias("doc_id"), F.col("sh").alias("sig"))
-    one = sig.groupBy(F.xxhash64(F.col("sig")).alias("s")).agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    sets = materialize(window_sets(docs, "doc_id", "text", width).select(F.col("key").alias("doc_id"), F.struct(F.size("sh"), F.xxhash64("sh"), F.xxhash64(F.lit(1), "sh")).alias("s")).distinct(), "classes")
+    one = sets.groupBy("s").agg(F.min("doc_id").alias("a"))
+    members = sets.join(one, "s").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    texts = docs.join(one.select(F.col("a").alias("doc_id")), "doc_id", "left_semi")
+    sig = window_sets(texts, "doc_id", "text", width, perms).select(F.col("key").alias("doc_id"), F.col("sh").alias("sig"))
     band = F.transform(F.sequence(F.lit(0), F.lit(perms // rows - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))
-    keys = one.select("doc_id", F.explode(band).alias("key"))
-    return keys.select(F.col("doc_id").alias("a"), "key").join(keys.select(F.col("doc_id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
+    keys = sig.select("doc_id", F.explode(band).alias("key")).distinct()
+    met = keys.select(F.col("doc_id").alias("a"), "key").join(keys.select(F.col("doc_id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
+    return met.withColumn("same", F.lit(False)).unionByName(members.withColumn("same", F.lit(True)))
 
 
 def hybrids(docs: DataFrame, sentences: DataFrame, seed: str = "7") -> DataFrame:
