@@ -124,13 +124,29 @@ def coverage(runs: DataFrame, words: DataFrame) -> DataFrame:
     return words.select("key", F.size("w").alias("n")).where("n > 0").join(r.groupBy("key").agg(F.sum(new).alias("k")), "key", "left").select("key", r6(F.coalesce("k", F.lit(0)) / F.col("n")).alias("covered"))
 
 
+def matching_words(runs: DataFrame) -> DataFrame:
+    """(key, ref, longest, words): the longest run, and how many words of the text lie in runs with the reference; each word counts once."""
+    order = Window.partitionBy("key", "ref").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    r = runs.withColumn("stop", F.col("start") + F.col("length")).withColumn("before", F.max("stop").over(order))
+    new = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce("before", F.col("start"))))
+    return r.groupBy("key", "ref").agg(F.max("length").alias("longest"), F.sum(new).alias("words"))
+
+
 def similarity_report(texts: DataFrame, key: str, library: DataFrame, ref: str, top: int = 10) -> DataFrame:
-    """(key, ref, shared, containment5, longest, score): candidates with score max(containment, longest run over length)."""
-    pairs = candidates(winnow(texts, key), winnow(library, ref), top)
+    """(key, ref, shared, containment5, longest, words, score): each text's best ``top`` references by score.
+
+    The score is max(containment, matched words over length); ``words`` is the
+    number of matched words.  All references that share a fingerprint are
+    scored, and the top is cut after that.  Ties go to more shared
+    fingerprints, then to the smaller reference.
+    """
+    pairs = sharing(winnow(texts, key), winnow(library, ref))
     left, right = grams(texts, key, GRAM), grams(library, ref, GRAM)
-    cont = containment(pairs, left, right, GRAM)
-    longest = exact_runs(pairs, left, right).groupBy("key", "ref").agg(F.max("length").alias("longest"))
+    cont = containment(pairs, left, right, GRAM, many=True)
+    runs = matching_words(exact_runs(None, left, right))
     size = tokens(texts, key).select("key", F.size("w").alias("n"))
-    x = pairs.join(cont, ["key", "ref"]).join(longest, ["key", "ref"], "left").join(size, "key")
-    score = F.greatest(F.coalesce("containment5", F.lit(0.0)), F.coalesce("longest", F.lit(0)) / F.greatest("n", F.lit(1)))
-    return x.select("key", "ref", "shared", "containment5", F.coalesce("longest", F.lit(0)).cast("long").alias("longest"), r6(score).alias("score"))
+    x = pairs.join(cont, ["key", "ref"]).join(runs, ["key", "ref"], "left").join(size, "key")
+    score = F.greatest(F.coalesce("containment5", F.lit(0.0)), F.coalesce("words", F.lit(0)) / F.greatest("n", F.lit(1)))
+    x = x.select("key", "ref", "shared", "containment5", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("longest", "words")], r6(score).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), F.desc("shared"), "ref"))
+    return x.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
