@@ -1,5 +1,10 @@
 """Queries over whole tables beside those that take a part."""
 
+import hashlib
+import html
+import unicodedata
+
+from textloom.functions import arrow as A
 from textloom.plans import catalogue
 
 
@@ -9,3 +14,13 @@ def test_tasks_are_dealt_over_all_samples(spark, tmp_path):
     got = {r.id: r.task for r in catalogue.queries()["q_task_assignment_all"](spark, str(tmp_path)).collect()}
     tasks = ["continue", "paraphrase", "paraphrase_ai", "polish"]
     assert got == {i: tasks[k % 4] for k, (i, label, _) in enumerate(rows) if label == int(tasks[k % 4] == "paraphrase_ai")}
+
+
+def test_entities_are_undone_over_all_documents(spark, tmp_path):
+    texts = {1: "plain", 2: "AT&amp;T &eacute;t&eacute; &#8217; & x &nope;", 3: "été &lt;b&gt;"}
+    spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.t for r in rows.select("doc_id", A.normalize_unicode("text").alias("t")).collect()}
+    assert got == {k: unicodedata.normalize("NFC", html.unescape(t)) for k, t in texts.items()}
+    got = {r.doc_id: r.composed for r in catalogue.queries()["q_normalize_unicode_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.md5(unicodedata.normalize("NFC", html.unescape(t)).encode()).hexdigest() for k, t in texts.items()}
