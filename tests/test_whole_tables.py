@@ -5,6 +5,7 @@ import html
 import unicodedata
 
 from textloom.functions import arrow as A
+from textloom.operators import metrics as M
 from textloom.plans import catalogue
 
 
@@ -24,3 +25,8 @@ def test_entities_are_undone_over_all_documents(spark, tmp_path):
     assert got == {k: unicodedata.normalize("NFC", html.unescape(t)) for k, t in texts.items()}
     got = {r.doc_id: r.composed for r in catalogue.queries()["q_normalize_unicode_all"](spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.md5(unicodedata.normalize("NFC", html.unescape(t)).encode()).hexdigest() for k, t in texts.items()}
+
+
+def test_bootstrap_draws_five_hundred(spark):
+    rows = spark.createDataFrame([(f"g{i}", i % 2, (i * 37 % 50) / 50 + i % 2 * 0.2) for i in range(60)], "g string, y int, p double")
+    assert M.bootstrap_auc(rows, "g").first().n_valid == 500

@@ -132,7 +132,7 @@ def bands(scored: DataFrame, q: float = 0.05) -> DataFrame:
     return high.crossJoin(low)  # one row each
 
 
-def bootstrap_auc(scored: DataFrame, group: str, replicates: int = 100, seed: str = "7") -> DataFrame:
+def bootstrap_auc(scored: DataFrame, group: str, replicates: int = 500, seed: str = "7") -> DataFrame:
     """One row (auc, low, high, n_valid): whole groups drawn with Poisson(1) weights from a hash, 2.5 and 97.5 percentiles.
 
     A group's weight in a replicate is told from its hash alone, so that no

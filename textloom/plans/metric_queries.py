@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.operators import metrics as M
-from textloom.plans.catalogue import query
+from textloom.plans.catalogue import query, registered_sql
 from textloom.session import table
 
 #: The last good analysis of each text, then one row a sample.
@@ -179,6 +179,11 @@ def q_bootstrap_auc(spark, sf_dir):
     return M.bootstrap_auc(scored(spark, sf_dir), "g", 40)
 
 
+@query("q_bootstrap_auc_500", registered_sql("q_bootstrap_auc").replace("range(1, 41)", "range(1, 501)"))
+def q_bootstrap_auc_500(spark, sf_dir):
+    return M.bootstrap_auc(scored(spark, sf_dir), "g")
+
+
 @query("q_fp_audit", f"with {_SCORED}, r as (select count(*) filter (where y = 0 and p >= 0.5) / nullif(count(*) filter (where y = 0), 0) as ref from sc where eval_set is null) select eval_set, count(*) filter (where y = 0) as n_human, count(*) filter (where y = 0 and p >= 0.5) as flagged, round(count(*) filter (where y = 0 and p >= 0.5) / nullif(count(*) filter (where y = 0), 0), 6) as fpr, round(count(*) filter (where y = 0 and p >= 0.5) / nullif(count(*) filter (where y = 0), 0) / nullif(any_value(ref), 0), 6) as ratio, round(avg(case when share >= 0.5 then 1.0 when share is not null then 0.0 end), 6) as majority_share from sc cross join r where eval_set is not null group by eval_set")
 def q_fp_audit(spark, sf_dir):
     s = scored(spark, sf_dir)
