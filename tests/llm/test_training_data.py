@@ -278,6 +278,34 @@ def test_right_text_costs_nothing(text):
     assert garbled.garbling_cost(text) == 0
 
 
+@pytest.mark.parametrize("text", ORIGINALS)
+def test_references_are_the_outermost_layer(text):
+    once = text.encode().decode("latin-1")
+    assert garbled.repair("".join(c if c.isascii() else f"&#{ord(c)};" for c in once))[0] == text
+    assert garbled.repair("".join(c if c.isascii() else f"&#x{ord(c):x};" for c in once))[0] == text
+    assert garbled.repair("caf&Atilde;&copy;")[0] == "café"
+
+
+LOSSES = [("También no es fácil.", "Tambi??n no es f??cil."), ("It’s “fair”, he said", "It???s ???fair,??? he said"), ("Der Größte", "Der Gr??te"), ("η αρχή του", "? ???? ???"), ("Conceição", "Concei??o"), ("Linadña balanced", "Linad?a balanced"), ("étudier", "??tudier")]
+NO_LOSSES = ["And why?? Nobody knew.", "He asked why??", "The list at page?item=7&view=full is long.", "See https://x.org/a?b for it.", "Really?! Yes?", "Quoi ?? Il part.", "What???", "it&#8217;s AT&amp;T &eacute;t&eacute; &nbsp;&lt;b&gt;", "a & b; c"]
+
+
+@pytest.mark.parametrize("text", [bad for _, bad in LOSSES])
+def test_question_marks_for_letters_are_told(text):
+    assert garbled.lost_characters(text)
+
+
+@pytest.mark.parametrize("text", NO_LOSSES)
+def test_question_marks_and_references_of_right_texts(text):
+    assert not garbled.lost_characters(text) and not garbled.repair(text)[1]
+
+
+def test_garbled_documents_without_other_than_ascii(spark):
+    rows = [(1, "it&#226;&#8364;&#8482;s so"), (2, "Tambi??n no"), (3, "asked why??"), (4, "page?item=7&view=full"), (5, "it&#8217;s"), (6, "plain"), (7, "F&#195;&#188;hrung, c??te")]
+    got = {r.doc_id: (r.restored, r.complete) for r in garbled.garbled_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("it’s so", True), 2: (None, False), 7: ("Führung, c??te", False)}
+
+
 CLASH = ["key", "sig", "role", "h", "t", "n", "x", "y", "g", "m", "w", "c", "line", "level", "state", "text_a", "sig_a", "evidence", "defect", "bundle", "rank", "shard", "lang", "code", "data", "bucket", "full", "extra", "quota", "place"]
 
 

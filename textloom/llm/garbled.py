@@ -5,10 +5,14 @@ encoding and strictly decoded as the intended one; a step is taken when a
 garbling cost drops, and steps repeat for nested layers.  The whole text is
 tried first, then its parts, for texts that are garbled only in places:
 UTF-8 byte sequences wherever they stand, and words for one-byte encodings.
+Garbled characters written as character references ("&#195;&#169;") are read
+first.  Bytes that became replacement characters or question marks are lost:
+they tell the document, and nothing can be restored there.
 """
 
 from __future__ import annotations
 
+import html
 import re
 
 import pyarrow as pa
@@ -49,6 +53,34 @@ _COSTS = (
 )
 
 
+_LETTER = r"[^\W\d_]"
+#: Question marks where characters were lost: two and more before a letter, between words, or behind a comma; runs next to runs.
+_LOST = re.compile(rf"\?{{2,}}(?={_LETTER})|(?<=[,;:.])\?{{3,}}|(?<![^\s(\[])\?{{2,}}(?=[ \t](?:[^\W\dA-ZÀ-ÖØ-ÞΆ-Ϋ_]|\d))|\?{{3,}}[ \t]\?{{2,}}|\?{{7,}}")
+#: One question mark between letters: a lost letter, but not where an address has its query.
+_LOST_LETTER = re.compile(rf"(?<!\S)[^\s/=&:.?]*{_LETTER}\?{_LETTER}[^\s/=&:?]*(?!\S)")
+_REFERENCE = re.compile(r"&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z]{2,31}\d{0,2});")
+#: What a document without any of these can't be: not ASCII, a reference, lost letters. For Java's matcher.
+TRACES = r"[^\x00-\x7f]|&#?[0-9A-Za-z]{2,32};|\?\?|\p{L}\?\p{L}"
+
+
+def lost_characters(text: str) -> int:
+    """How many traces of characters lost to replacement, control or question marks a text has."""
+    n = sum("\x80" <= c <= "\x9f" or c == "\ufffd" for c in text) if not text.isascii() else 0
+    if "?" in text:
+        n += sum(1 for _ in _LOST.finditer(text)) + sum(1 for _ in _LOST_LETTER.finditer(text))
+    return n
+
+
+def _read_reference(m: re.Match[str]) -> str:
+    ch = html.unescape(m.group())
+    return m.group() if ch.isascii() else ch
+
+
+def read_references(text: str) -> str:
+    """Character references to other than ASCII as the characters they name; markup stays."""
+    return _REFERENCE.sub(_read_reference, text) if "&" in text else text
+
+
 def garbling_cost(text: str) -> int:
     """How much of a text looks like the trace of a wrong decoding; 0 for right text."""
     return sum(w * sum(1 for _ in p.finditer(text)) for w, p in _COSTS)
@@ -166,6 +198,11 @@ def repair(text: str) -> tuple[str, list[str], int]:
     then the one-byte encoding that leaves the least cost.
     """
     cost, taken = garbling_cost(text), []
+    if (read := read_references(text)) != text and (c := garbling_cost(read)) > cost:
+        # references are part of the garbling only where what they name is undone
+        again = repair(read)
+        if again[1]:
+            return again[0], ["references", *again[1]], again[2]
     while cost and len(taken) < MOST_LAYERS:
         for kind in (_whole, _in_parts, _by_word):
             steps = [(rank, c, k, how, t) for k, (rank, how, t) in enumerate(kind(text)) if (c := garbling_cost(t)) < (cost if kind is _by_word else cost * (1 - LEAST_DROP))]
@@ -183,12 +220,14 @@ def _stage(key: str):
         for batch in batches:
             rows = []
             for k, t in zip(batch.column(key), batch.column("text").to_pylist()):
-                if not garbling_cost(t):
+                # what is left without a step counts only where characters were lost
+                lost = lost_characters(t)
+                if not lost and not garbling_cost(t) and "&" not in t:
                     continue
                 fixed, steps, left = repair(t)
-                # what is left without a step counts only where characters were lost
-                if steps or any("\x80" <= c <= "\x9f" or c == "�" for c in t):
-                    rows.append((k.as_py(), fixed if steps else None, steps, left == 0, left))
+                if steps or lost:
+                    lost = lost_characters(fixed)
+                    rows.append((k.as_py(), fixed if steps else None, steps, left + lost == 0, left + lost))
             if rows:
                 a, b, c, d, e = zip(*rows)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(a, pa.int64()), "restored": pa.array(b, pa.string()), "steps": pa.array(c, pa.list_(pa.string())), "complete": pa.array(d), "cost_left": pa.array(e, pa.int32())})
@@ -201,10 +240,12 @@ def garbled_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
 
     Columns: doc_id, restored (null where nothing could be undone), steps
     (encodings undone, outermost first), complete (no trace is left),
-    cost_left.
+    cost_left (its garbling cost and the characters lost in it).
 
-    Null and empty texts, texts of ASCII alone and null ids are no cases; a
-    row delivered twice counts once; extra columns are ignored.
+    Null and empty texts and null ids are no cases; a row delivered twice
+    counts once; extra columns are ignored.  References to rightly decoded
+    characters, doubled question marks behind a word and addresses with a
+    query are no cases.
     """
-    rows = documents.select(F.col(key).alias(key), F.col(text).alias("text")).where(F.col(key).isNotNull() & F.col("text").rlike(r"[^\x00-\x7f]"))
+    rows = documents.select(F.col(key).alias(key), F.col(text).alias("text")).where(F.col(key).isNotNull() & F.col("text").rlike(TRACES))
     return rows.mapInArrow(_stage(key), "doc_id long, restored string, steps array<string>, complete boolean, cost_left int").dropDuplicates(["doc_id"])
