@@ -84,8 +84,8 @@ def test_cross_split_is_train_against_evaluation(spark):
 
 ENDINGS = [
     ("It went well. The road was lo", "cut"), ("It went well. The road was [...]", "cut"), ("It went well. The road…", "cut"), ("All is said. …", "whole"), ("All is said.", "whole"), ("All \"is said.\"", "whole"),
-    ("Πού είναι;", "whole"), ("they waited;", "line"), ("It ended.\n- salt", "whole"), ("It ended.\n\nFigure 3: a road", "whole"), ("It ended.\n\nOldby, 3/4/2020", "whole"), ("It ended.\n(end of part one)", "whole"), ("It ended.\n\nCheers :)", "whole"),
-    ("It ended.\nThe road", "line"), (None, "whole"), ("", "whole"), ("...", "whole"), ("x" * 70, "cut"), ("Ende (mehr)", "cut"),
+    ("Πού είναι;", "whole"), ("they waited;", "cut"), ("It ended.\n- salt", "closing"), ("It ended.\n\nFigure 3: a road", "closing"), ("It ended.\n\nOldby, 3/4/2020", "closing"), ("It ended.\n(end of part one)", "closing"), ("It ended.\n\nCheers :)", "closing"),
+    ("It ended.\nThe road", "cut"), ("It ended.\nKind regards,", "closing"), ("It ended.\n\nMit herzlichen Grüßen", "closing"), ("It ended.\n\nThanks to the may", "cut"), ("It ended.\n\nPart 2 of 5", "closing"), ("Schluss.\n\nAm Ende sind die 91", "cut"), ("Fin.\n\nLes 9", "cut"), ("It ended.\n\nThe end o", "cut"), ("Finì.\n\nSaluti", "closing"), ("Fin.\n\nUn abrazo", "closing"), ("Τέλος.\n\nΕυχαριστώ πολύ", "closing"), ("It ended.\n\nReferences", "closing"), ("It ended.\n\nNota", "cut"), ("It ended.\n\nLove and luc", "cut"), ("It ended.\n\nPublished in the vi", "cut"), ("-" * 900, "whole"), ("word " + "-" * 900, "cut"), (None, "whole"), ("", "whole"), ("...", "whole"), ("x" * 70, "cut"), ("Ende (mehr)", "cut"),
 ]
 
 
@@ -94,31 +94,31 @@ def test_endings(text, state):
     assert cutoff.ending(text)[0] == state
 
 
-def test_open_lines_are_told_by_prefixes(spark):
-    rows = [("a", "All ended well.\n\nYesterday the narrow road was quiet and nobody came along it."), ("b", "Something else.\n\nYesterday the narrow roa"), ("c", "One.\nThanks in advance"), ("d", "Two.\nThanks in advance"), ("e", "Three.\nGibberish her")]
-    got = {r.key: r.evidence for r in cutoff.cut_records(spark.createDataFrame(rows, "id string, text string")).collect()}
-    assert got == {"b": "prefix", "e": "lone"}
-
-
 def _cuts(spark, rows):
     return {r.key: r.evidence for r in cutoff.cut_records(spark.createDataFrame(rows, "id string, text string")).collect()}
 
 
-def test_longer_lines_overrule_a_closing_form(spark):
-    rows = [("a", "All ended well.\n\nAm Ende sind die 79 Seiten noch lange nicht alle gelesen."), ("b", "Something else.\n\nAm Ende sind die 91"), ("c", "It went.\n\n- salt and pep"), ("d", "Long list.\n- salt and pepper are what the kitchen always needs."), ("e", "One.\n\nPart 2 of 5"), ("f", "Two.\n- salt"), ("g", "Three.\n\nFigure 9: a road"), ("h", "Four.\nFigure 3: a road that goes on for forty characters.")]
-    assert _cuts(spark, rows) == {"b": "prefix", "c": "prefix", "f": "prefix"}
+def test_verdicts_do_not_depend_on_other_rows(spark):
+    rows = [("a", "It went.\n\nThanks in advance"), ("b", "It went well.\n\nQuite gre"), ("c", "Three.\n\nDi"), ("d", "Four.\n- salt"), ("e", "Five.\nPart 2 of 5"), ("f", "It went well. The road was [...]")]
+    alone = {k: v for r in rows for k, v in _cuts(spark, [r]).items()}
+    assert alone == {"b": "open", "c": "open", "f": "marked"}
+    others = [("g", "Six.\n\nThanks in advance"), ("h", "Seven.\n\nQuite gre"), ("i", "One more.\nThanks in advance, all of you who came along with us today."), ("j", "Eight.\n\n- salt and pepper are what the kitchen always needs.")]
+    assert {k: v for k, v in _cuts(spark, rows + others).items() if k in "abcdef"} == alone
 
 
-def test_open_lines_are_verified(spark):
-    rows = [("a", "It was so.\n\nDie Wohnung ist klein, aber sie liegt an einem Platz."), ("b", "One.\n\nDi"), ("c", "Two.\n\nDi")]
-    assert _cuts(spark, rows) == {"b": "prefix", "c": "prefix"}
-    rows = [("a", "One.\nThanks in advance"), ("b", "Two.\nThanks in advance"), ("c", "Three.\nThanks including all the friends who came along.")]
-    assert _cuts(spark, rows) == {}
+def test_longer_copies_decide_closing_lines(spark):
+    base = "The same long beginning stands here, and it ends well.\n\n"
+    rows = [("a", base + "- salt"), ("b", base + "- salt and pepper"), ("c", base + "Part 2 of 5"), ("d", base + "Part 2 of 5\n\nMore text."), ("e", base + "Thanks"), ("f", base + "Thanks [...]"), ("g", base[:30]), ("h", "no " + base + "- salt")]
+    assert _cuts(spark, rows) == {"a": "copy", "f": "marked", "g": "copy"}
 
 
-def test_a_longer_copy_is_asked_before_other_texts(spark):
-    rows = [("a", "The same long beginning stands here.\n\nQuite gre"), ("b", "The same long beginning stood here.\n\nQuite gre"), ("c", "The same long beginning stands here.\n\nQuite grey")]
-    assert _cuts(spark, rows) == {"a": "copy", "c": "lone"}
+def test_longer_copies_equal_brute_force(spark):
+    rng = random.Random(5)
+    whole = ["".join(rng.choice("ab ") for _ in range(rng.randint(20, 400))).strip() + "x" for _ in range(6)]
+    rows = [(f"k{i}", w[: rng.randint(10, len(w))].strip()) for i, w in enumerate(rng.choice(whole) for _ in range(150))]
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = {r.key for r in cutoff.longer_copies(df, "id", "text", df.selectExpr("id as key", "0 as mark")).collect()}
+    assert got == {i for i, t in rows if len(t) >= 16 and any(o.startswith(t) and len(o) > len(t) for _, o in rows)}
 
 
 PAIRS = [
