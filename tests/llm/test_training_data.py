@@ -57,6 +57,52 @@ def test_pairs_equal_brute_force(spark, monkeypatch, light, split, length):
     assert len(got) == len(set(got)) and set(got) == brute_pairs([*dict(r for r in rows if r[0]).items()])
 
 
+def _entries(df, spec):
+    order = setjoin.corpus_order(df, spec)
+    lists = df.mapInArrow(setjoin._list_stage(spec, 0, order.buckets, setjoin.standing_out(order, spec), df.sparkSession.sparkContext.broadcast(order.codes)), setjoin._LIST)
+    return order, lists.selectExpr("sum(length(rank)) as n").first().n
+
+
+def test_a_full_sketch_replicates_nothing(spark):
+    rows = random_rows(5, 400, (20, 60))
+    df = spark.createDataFrame([(i, i, 3, t) for i, (_, t) in enumerate(rows)], "sig long, check long, role tinyint, text string").repartition(5)
+    (full, most), (free, least) = (_entries(df, setjoin.JoinSpec(sketch_bits=b, split=5, per_bucket=300, fan_in=2)) for b in (3, 22))
+    assert full.noise > 500 and free.noise < 1 and abs(most - least) <= 0.05 * least
+
+
+def test_counts_are_merged_in_steps(spark):
+    df = spark.createDataFrame([(1, t) for _, t in random_rows(6, 60, (20, 60))], "k long, text string").repartition(9)
+    a, b = (setjoin.corpus_order(df, setjoin.JoinSpec(sketch_bits=17, fan_in=n)) for n in (2, 256))
+    assert (a.codes == b.codes).all() and (a.light, a.buckets, a.noise) == (b.light, b.buckets, b.noise)
+
+
+def test_windows_that_stand_out_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "standing_out", lambda order, spec: __import__("numpy").where(2.0 ** (__import__("numpy").arange(256) / 8.0) - 1 > 8, 24.0, 0.0))
+    rows = random_rows(12, 90, (5, 40))
+    spec = setjoin.JoinSpec(sketch_bits=17, split=4, per_bucket=8)
+    got = {tuple(r) for r in nearcopies.near_duplicate_pairs(spark.createDataFrame(rows, "id string, text string").repartition(3), spec=spec).collect()}
+    assert got == brute_pairs(rows)
+
+
+def test_hot_classes_are_packed(spark, monkeypatch):
+    from textloom.llm import classpairs
+
+    monkeypatch.setattr(classpairs.packed, "__defaults__", (4,))
+    text, near = " ".join(f"w{i}" for i in range(30)), " ".join(f"w{i}" for i in range(31))
+    rows = [(f"a{k:02}", text) for k in range(23)] + [(f"b{k:02}", near) for k in range(9)] + [("c", "other words stand here and nothing else is said")]
+    got = [tuple(r) for r in nearcopies.near_duplicate_pairs(spark.createDataFrame(rows, "id string, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows)
+    df = spark.createDataFrame([(i, t, "train" if k % 3 else "test", None) for k, (i, t) in enumerate(rows)], "id string, text string, split string, eval_set string").withColumn("source_dataset", F.lit("s"))
+    side = {i: k % 3 > 0 for k, (i, _) in enumerate(rows)}
+    assert {tuple(r) for r in crosssplit.cross_split_pairs(df).collect()} == {(a, b) for a, b in brute_pairs(rows) if side[a] != side[b]}
+
+
+def test_short_texts_overlap_only_as_they_are(spark):
+    rows = [("a", "Yes, sir", "train"), ("b", "yes sir", "test"), ("c", "Yes, sir", "test"), ("d", "...", "train"), ("e", "...", "test"), ("f", "One, two three four five", "train"), ("g", "one two three four FIVE!", "test")]
+    df = spark.createDataFrame(rows, "id string, text string, split string").withColumn("eval_set", F.lit(None).cast("string")).withColumn("source_dataset", F.lit("s"))
+    assert {tuple(r) for r in crosssplit.cross_split_pairs(df).collect()} == {("a", "c"), ("d", "e"), ("f", "g")}
+
+
 @pytest.mark.parametrize(("width", "threshold"), [(5, 0.8), (3, 0.3), (1, 0.6)])
 def test_pairs_with_other_parameters(spark, width, threshold):
     rows = random_rows(99, 70, (6, 40))

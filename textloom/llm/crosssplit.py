@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.setjoin import JoinSpec, similar_classes
+from textloom.llm.classpairs import across, packed, written
+from textloom.llm.nearcopies import CLASS
+from textloom.llm.setjoin import JoinSpec, identity, similar_classes
+from textloom.session import materialize
 
 SPEC = JoinSpec(width=5, threshold=0.5)
 
@@ -35,18 +38,30 @@ def with_role(samples: DataFrame) -> DataFrame:
 def cross_split_links(samples: DataFrame, spec: JoinSpec = SPEC) -> DataFrame:
     """(eval_id, train_id, exact): each evaluation record with each training record it repeats.
 
-    exact: the canonical texts are equal.  Null texts have no links; texts
-    without any letter or number neither; repeated rows count once.
+    exact: the canonical texts are equal, or the texts where they are under
+    ``width`` tokens (such texts are too short for windows, and case and signs
+    may be all that tells them apart).  Null texts have no links; repeated
+    rows count once.
     """
     rows = with_role(samples)
-    who = rows.select("id", "role", F.xxhash64("text").alias("sig")).distinct()
-    near = similar_classes(rows.select(F.xxhash64("text").alias("sig"), "role", "text"), spec).select("sig_a", "sig_b")
-    near = near.select(F.col("sig_a").alias("l"), F.col("sig_b").alias("r")).unionAll(near.select(F.col("sig_b").alias("l"), F.col("sig_a").alias("r")))
-    evals, trains = who.where("role = 2").select(F.col("id").alias("eval_id"), F.col("sig").alias("l")), who.where("role = 1").select(F.col("id").alias("train_id"), F.col("sig").alias("r"))
-    near = near.join(evals, "l").join(trains, "r").select("eval_id", "train_id", F.lit(0).alias("e"))
-    hashed = rows.select("id", "role", canonical(F.col("text")).alias("c")).where("c <> ''").select("id", "role", F.xxhash64("c").alias("h"), F.length("c").alias("n")).distinct()
-    exact = hashed.where("role = 2").select(F.col("id").alias("eval_id"), "h", "n").join(hashed.where("role = 1").select(F.col("id").alias("train_id"), "h", "n"), ["h", "n"]).select("eval_id", "train_id", F.lit(1).alias("e"))
-    return near.unionByName(exact).where("eval_id <> train_id").groupBy("eval_id", "train_id").agg((F.max("e") == 1).alias("exact"))
+    plain = canonical(F.col("text"))
+    long = F.size(F.split(plain, " ", spec.width)) >= spec.width
+    told = rows.select("id", "role", *identity("text"), "text").withColumn("kept", F.when(long, plain).otherwise(F.concat(F.lit("\n"), "text")))
+    told = materialize(told.select("id", "role", "sig", "check", F.xxhash64("kept").alias("h"), F.xxhash64(F.lit("check"), "kept").alias("g")).distinct(), "records")
+    links = materialize(similar_classes(rows.select(*identity("text"), "role", "text"), spec).drop("similarity"), "links")
+    turned = links.select(*[F.col(f"{c}_{x}").alias(f"{c}_{y}") for x, y in ("ba", "ab") for c in CLASS])
+    # a text may stand on both sides, so that links are asked in both directions
+    both = links.unionByName(turned)
+    ends = both.select(*[F.col(f"{c}_a").alias(c) for c in CLASS]).distinct()
+    linked = told.join(ends, CLASS, "left_semi")
+    evals, trains = (written(packed(linked.where(F.col("role") == role).select("id", *CLASS).distinct(), CLASS)) for role in (2, 1))
+    near = across(both, evals, trains, CLASS).select(F.col("x").alias("eval_id"), F.col("y").alias("train_id"), F.lit(0).alias("e"))
+    met = told.groupBy("h", "g").agg(F.count_distinct("role").alias("n")).where("n > 1").select("h", "g")
+    on_both = told.join(met, ["h", "g"], "left_semi").select("id", "role", "h", "g").distinct()
+    evals, trains = (written(packed(on_both.where(F.col("role") == role).select("id", "h", "g"), ["h", "g"])) for role in (2, 1))
+    same = met.select(*[F.col(c).alias(f"{c}_{x}") for x in "ab" for c in ("h", "g")])
+    exact = across(same, evals, trains, ["h", "g"]).select(F.col("x").alias("eval_id"), F.col("y").alias("train_id"), F.lit(1).alias("e"))
+    return near.unionByName(exact).groupBy("eval_id", "train_id").agg((F.max("e") == 1).alias("exact"))
 
 
 def cross_split_pairs(samples: DataFrame, spec: JoinSpec = SPEC) -> DataFrame:

@@ -5,40 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.setjoin import JoinSpec, similar_classes
+from textloom.llm.classpairs import across, inside, packed, written
+from textloom.llm.setjoin import JoinSpec, identity, similar_classes
 from textloom.operators.components import connected_components
 from textloom.session import materialize
 
 #: Near-duplicates by the project's statement: five-token windows, half of them shared.
 SPEC = JoinSpec(width=5, threshold=0.5)
+CLASS = ["sig", "check"]
+
+
+def _present(records: DataFrame, key: str, text: str) -> DataFrame:
+    return records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
 
 
 def members(records: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(id, sig): the class of equal texts each record belongs to. Null texts and keys belong to none."""
-    return records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(text).alias("sig")).distinct()
+    """(id, sig, check): the class of equal texts each record belongs to. Null texts and keys belong to none."""
+    return _present(records, key, text).select("id", *identity("text")).distinct()
 
 
 def class_links(records: DataFrame, key: str = "id", text: str = "text", spec: JoinSpec = SPEC) -> DataFrame:
-    """(sig_a, sig_b, similarity) between different texts of the whole table.
+    """(sig_a, check_a, sig_b, check_b, similarity) between different texts of the whole table.
 
     Nulls, empty and short texts have no windows and so no links; repeated
     rows count once; other columns are ignored, whatever their names.
     """
-    docs = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(text).alias("sig"), F.lit(3).cast("tinyint").alias("role"), F.col(text).alias("text"))
+    docs = _present(records, key, text).select(*identity("text"), F.lit(3).cast("tinyint").alias("role"), "text")
     return similar_classes(docs, spec)
 
 
 def near_duplicate_pairs(records: DataFrame, key: str = "id", text: str = "text", spec: JoinSpec = SPEC) -> DataFrame:
     """All pairs (id_a < id_b) of records whose texts are equal or similar enough."""
-    links = class_links(records, key, text, spec).select("sig_a", "sig_b")
+    links = materialize(class_links(records, key, text, spec).drop("similarity"), "links")
     who = members(records, key, text)
-    a, b = who.select(F.col("id").alias("x"), F.col("sig").alias("sig_a")), who.select(F.col("id").alias("y"), F.col("sig").alias("sig_b"))
-    between = links.join(a, "sig_a").join(b, "sig_b").where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    # only classes with two members or more take part in the join of equal texts
-    many = who.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
-    same = who.join(many, "sig")
-    within = same.select("sig", F.col("id").alias("id_a")).join(same.select("sig", F.col("id").alias("id_b")), "sig").where("id_a < id_b").select("id_a", "id_b")
-    return between.unionByName(within).distinct()
+    ends = links.select(F.col("sig_a").alias("sig"), F.col("check_a").alias("check")).unionAll(links.select(F.col("sig_b").alias("sig"), F.col("check_b").alias("check")))
+    # only classes with a link or with two members have pairs
+    wanted = ends.unionAll(who.groupBy(*CLASS).agg(F.count("*").alias("n")).where("n > 1").select(*CLASS)).distinct()
+    packs = written(packed(who.join(wanted, CLASS, "left_semi"), CLASS))
+    between = across(links, packs, packs, CLASS)
+    pairs = between.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    return pairs.unionAll(inside(packs, CLASS)).distinct()
 
 
 def near_duplicate_groups(records: DataFrame, key: str = "id", text: str = "text", spec: JoinSpec = SPEC) -> DataFrame:
@@ -48,11 +54,12 @@ def near_duplicate_groups(records: DataFrame, key: str = "id", text: str = "text
     (different texts that are similar enough).  A record without any has a
     group of its own; one whose text is null is in no row.
     """
-    links = materialize(class_links(records, key, text, spec), "links")
-    who = materialize(members(records, key, text), "members")
-    sigs = connected_components(links.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")))
-    degree = links.select(F.col("sig_a").alias("sig")).unionAll(links.select(F.col("sig_b").alias("sig"))).groupBy("sig").agg(F.count("*").alias("n_links"))
-    classes = who.groupBy("sig").agg(F.count("*").alias("n_copies"), F.min("id").alias("first"))
-    classes = classes.join(sigs.withColumnRenamed("node", "sig"), "sig", "left").join(degree, "sig", "left").select("sig", "n_copies", "first", F.coalesce("component", "sig").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    name = lambda side="": F.concat_ws(":", f"sig{side}", f"check{side}")
+    links = materialize(class_links(records, key, text, spec).select(name("_a").alias("a"), name("_b").alias("b")), "links")
+    who = materialize(members(records, key, text).select("id", name().alias("class")), "members")
+    found = connected_components(links)
+    degree = links.select(F.col("a").alias("class")).unionAll(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
+    classes = who.groupBy("class").agg(F.count("*").alias("n_copies"), F.min("id").alias("first"))
+    classes = classes.join(found.withColumnRenamed("node", "class"), "class", "left").join(degree, "class", "left").select("class", "n_copies", "first", F.coalesce("component", "class").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     names = classes.groupBy("component").agg(F.min("first").alias("group_id"))
-    return who.join(classes.join(names, "component"), "sig").select("id", "group_id", "n_copies", "n_links")
+    return who.join(classes.join(names, "component"), "class").select("id", "group_id", "n_copies", "n_links")

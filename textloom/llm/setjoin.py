@@ -15,9 +15,14 @@ size histogram and mean list length.  Nothing is approximate: the order only
 decides how long lists are, the fronts follow from the threshold, and every
 candidate is verified on the texts.
 
-What is kept small: texts that are equal are one class from the start, lists
-longer than ``split`` are cut into blocks that meet in separate tasks, and the
-inverted lists travel as packed blocks, some ten bytes a window.
+What is kept small: texts that are equal are one class from the start, and the
+inverted lists travel as packed blocks, some ten bytes a window.  Lists meet in
+two rounds.  In the first, every list up to ``split`` entries meets where it
+lies; a longer one is handed on with its true length, cut into blocks, and its
+blocks meet in separate tasks of the second round.  Only such lists are
+replicated, whatever the counters that order the windows say; windows whose
+counter stands out by more than a task's share are spread over several tasks
+in the first round already.
 """
 
 from __future__ import annotations
@@ -28,7 +33,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.tokenarrays import TokenBatch, mix64, window_hashes
@@ -45,8 +51,9 @@ class JoinSpec:
     width, threshold: windows of so many tokens, least shared / in either.
     sketch_bits: the window counts that order the windows are kept in
     2**sketch_bits counters (8 MB at 23); a fixed size, whatever the corpus.
-    split: list length from which a list is cut into blocks.
+    split: entries beyond which a list is cut into blocks.
     per_bucket: list entries that one task handles at a time.
+    fan_in: partial counts that one merge reads at a time.
     largest_subset_set: sets above this size are never light.
     """
 
@@ -55,6 +62,7 @@ class JoinSpec:
     sketch_bits: int = 23
     split: int = 4000
     per_bucket: int = 600_000
+    fan_in: int = 256
     largest_subset_set: int = 48
 
     def least_overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,6 +76,11 @@ class JoinSpec:
         return np.minimum(size, np.maximum(0, size - np.maximum(self.least_overlap(size, smallest), subset) + subset)).astype(np.int64)
 
 
+def _task() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
 def _texts(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
@@ -93,76 +106,88 @@ def _count_stage(spec: JoinSpec):
                 sizes[: len(n)] += n
         at = np.concatenate(found) if found else np.zeros(0, np.uint32)
         if len(at):
-            counter = np.minimum(np.bincount(at, minlength=1 << spec.sketch_bits), 65535).astype("<u2")
-            parts = counter.reshape(1 << chunk_bits, -1)
+            parts = np.bincount(at, minlength=1 << spec.sketch_bits).astype("<u4").reshape(1 << chunk_bits, -1)
             used = [i for i in range(len(parts)) if parts[i].any()]
-            packed = [pa.compress(parts[i].tobytes(), codec="zstd", asbytes=True) for i in used]
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(used, pa.int32()), "data": pa.array(packed, pa.binary())})
-        top = np.flatnonzero(sizes[: spec.largest_subset_set * 2 + 1])
-        data = np.stack([top, sizes[top]]).astype("<i8").tobytes()
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([-1], pa.int32()), "data": pa.array([data], pa.binary())})
-        data = np.array([int((np.arange(len(sizes)) * sizes).sum()), int(sizes.sum())], "<i8").tobytes()
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([-2], pa.int32()), "data": pa.array([data], pa.binary())})
+            yield _chunks(used, [parts[i] for i in used], _task())
+        hist = np.zeros(spec.largest_subset_set * 2 + 3, "<u8")
+        low = sizes[: spec.largest_subset_set * 2 + 1]
+        hist[: len(low)] = low
+        hist[-2:] = int((np.arange(len(sizes)) * sizes).sum()), int(sizes.sum())
+        yield _chunks([-1], [hist], _task())
 
     return run
 
 
-def _merge_counts(spec: JoinSpec):
-    width = 1 << min(17, spec.sketch_bits)
+def _chunks(names: list[int], arrays: list[np.ndarray], task: int) -> pa.RecordBatch:
+    data = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in arrays]
+    return pa.RecordBatch.from_pydict({"chunk": pa.array(names, pa.int32()), "task": pa.array([task] * len(names), pa.int32()), "size": pa.array([x.nbytes for x in arrays], pa.int32()), "data": pa.array(data, pa.binary())})
+
+
+_COUNTS = "chunk int, task int, size int, data binary"
+
+
+def _merge_stage(last: bool):
+    """Sums of partial counts; the last merge gives codes, in steps of about 9 %, so that a byte reaches beyond 10**9."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = key[0].as_py()
-        if chunk < 0:
-            hist = np.zeros(spec.largest_subset_set * 2 + 1, np.int64) if chunk == -1 else np.zeros(2, np.int64)
-            for b in batches:
-                for x in b.column("data"):
-                    v = np.frombuffer(x.as_py(), "<i8")
-                    if chunk == -1:
-                        half = len(v) // 2
-                        np.add.at(hist, v[:half], v[half:])
-                    else:
-                        hist += v
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "data": pa.array([hist.astype("<i8").tobytes()], pa.binary()), "squares": pa.array([0.0])})
-            return
-        total = np.zeros(width, np.int64)
+        chunk, total = key[0].as_py(), None
+        kind = "<u4" if chunk >= 0 else "<u8"
         for b in batches:
-            for x in b.column("data"):
-                total += np.frombuffer(pa.decompress(x.as_py(), decompressed_size=2 * width, codec="zstd", asbytes=True), "<u2")
-        # counts in steps of about 9 %, so that a byte reaches beyond 10**9
-        code = np.minimum(255, np.round(np.log2(1 + total) * 8)).astype(np.uint8)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "data": pa.array([code.tobytes()], pa.binary()), "squares": pa.array([float((total.astype(float) ** 2).sum())])})
+            for x, n in zip(b.column("data"), b.column("size").to_pylist()):
+                v = np.frombuffer(pa.decompress(x.as_py(), decompressed_size=n, codec="zstd", asbytes=True), kind)
+                total = v.astype(np.uint64) if total is None else total + v
+        if chunk >= 0:
+            total = np.minimum(255, np.round(np.log2(1.0 + total) * 8)).astype(np.uint8) if last else np.minimum(total, (1 << 32) - 1).astype("<u4")
+        yield _chunks([chunk], [total], key[1].as_py() if len(key) > 1 else 0)
 
     return run
 
 
 @dataclass(frozen=True)
 class Order:
+    """codes: logarithms of the window counters.  light: largest light set.
+    buckets: groups of lists.  noise: mean of the counters, what any window's counter has besides its own count."""
+
     codes: np.ndarray
     light: int
     buckets: int
+    noise: float = 0.0
 
 
 def corpus_order(docs: DataFrame, spec: JoinSpec) -> Order:
     """The global order of windows, the light-heavy boundary and the number of buckets.
 
     To the driver come the counters (a fixed 2**sketch_bits bytes), a
-    histogram of the small sizes and two sums.
+    histogram of the small sizes and two sums.  Partial counts are merged
+    ``fan_in`` at a time before.
     """
-    rows = docs.select("text").mapInArrow(_count_stage(spec), "chunk int, data binary").groupBy("chunk").applyInArrow(_merge_counts(spec), "chunk int, data binary, squares double").collect()
+    counts = docs.select("text").mapInArrow(_count_stage(spec), _COUNTS)
+    merged = counts.withColumn("task", (F.col("task") / spec.fan_in).cast("int")).groupBy("chunk", "task").applyInArrow(_merge_stage(False), _COUNTS)
+    rows = merged.groupBy("chunk").applyInArrow(_merge_stage(True), _COUNTS).collect()
     codes = np.zeros(1 << spec.sketch_bits, np.uint8)
     width = 1 << min(17, spec.sketch_bits)
-    hist, sums = np.zeros(spec.largest_subset_set * 2 + 1, np.int64), np.zeros(2, np.int64)
+    hist, windows = np.zeros(spec.largest_subset_set * 2 + 1, np.int64), 0
     for r in rows:
+        data = pa.decompress(r.data, decompressed_size=r.size, codec="zstd", asbytes=True)
         if r.chunk >= 0:
-            codes[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.data, np.uint8)
-        elif r.chunk == -1:
-            hist = np.frombuffer(r.data, "<i8")
+            codes[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(data, np.uint8)
         else:
-            sums = np.frombuffer(r.data, "<i8")
+            told = np.frombuffer(data, "<u8").astype(np.int64)
+            hist, windows = told[:-2], int(told[-2])
     # the fronts hold the rarer half of the windows: their mean list length is that of the rarer counters
     used = np.sort(codes[codes > 0])
     mean_list = float(np.mean(2.0 ** (used[: max(1, len(used) // 2)] / 8.0) - 1)) if len(used) else 0.0
-    return Order(codes, light_boundary(hist, mean_list, spec), max(12, math.ceil(int(sums[0]) / 2 / spec.per_bucket)))
+    return Order(codes, light_boundary(hist, mean_list, spec), max(12, math.ceil(windows / 2 / spec.per_bucket)), windows / len(codes))
+
+
+def standing_out(order: Order, spec: JoinSpec) -> np.ndarray:
+    """By counter code: the entries a list has beyond the counters' mean, where they are more than one task's share; else 0.
+
+    A full sketch makes no window stand out: what all counters have is no
+    window's own.
+    """
+    own = 2.0 ** (np.arange(256) / 8.0) - 1 - order.noise
+    return np.where(own > spec.per_bucket, own, 0.0)
 
 
 def light_boundary(hist: np.ndarray, mean_list: float, spec: JoinSpec) -> int:
@@ -188,7 +213,10 @@ def light_boundary(hist: np.ndarray, mean_list: float, spec: JoinSpec) -> int:
 # --- pass 2: fronts of all sets, as packed inverted lists -------------------
 
 
-def _list_stage(spec: JoinSpec, light: int, buckets: int, shared):
+def _list_stage(spec: JoinSpec, light: int, buckets: int, alone: np.ndarray, shared):
+    """alone: see ``standing_out``."""
+    tasks = np.maximum(1, np.ceil(alone / spec.per_bucket)).astype(np.uint64)
+
     def run(batches):
         codes, seen = shared.value, set()
         shift = _U(64 - spec.sketch_bits)
@@ -197,7 +225,8 @@ def _list_stage(spec: JoinSpec, light: int, buckets: int, shared):
             sig = batch.column("sig").to_numpy(zero_copy_only=False).astype(np.int64)
             role = batch.column("role").to_numpy(zero_copy_only=False).astype(np.uint8)
             fresh = np.zeros(len(sig), bool)
-            for i, k in enumerate(zip(sig.tolist(), role.tolist())):
+            check = batch.column("check").to_pylist()
+            for i, k in enumerate(zip(sig.tolist(), check, role.tolist())):
                 if k not in seen:
                     seen.add(k)
                     fresh[i] = True
@@ -219,7 +248,7 @@ def _list_stage(spec: JoinSpec, light: int, buckets: int, shared):
             size = np.diff(edge)
             rank = np.arange(len(key)) - edge[text]
             singles = (rank < spec.front(size, 1)[text]) & ((size > light) | (size > light * spec.threshold))[text]
-            collected[False].append(_salted(key[singles], text[singles], rank[singles], size, sig, role, spec))
+            collected[False].append(_entries(key[singles], text[singles], rank[singles], size, sig, role, tasks))
             small = np.flatnonzero((size <= light) & (size > 1))
             if light and len(small):
                 collected[True].append(_subsets(key, edge, small, size, sig, role, spec))
@@ -231,32 +260,17 @@ def _list_stage(spec: JoinSpec, light: int, buckets: int, shared):
                 collected[True].append(_subsets(key, edge, tiny, size, sig, role, spec, alone=True))
         for subset, parts in collected.items():
             if parts:
-                yield from _packed([np.concatenate(x) for x in zip(*parts)], subset, buckets)
+                yield from _packed([np.concatenate(x) for x in zip(*parts)], subset, buckets, tasks)
 
     return run
 
 
-def _salted(key, text, rank, size, sig, role, spec: JoinSpec):
-    """List entries; those of a list longer than ``split`` go to the cells of a triangle of blocks."""
+def _entries(key, text, rank, size, sig, role, tasks):
+    """List entries. side is 0, or the counter's code for windows that stand out."""
     # the last step before the end of the front is a lower bound of the rank, in 1/256 of the size
     low_rank = np.minimum(255, rank * 256 // np.maximum(1, size[text])).astype(np.uint8)
-    code = (key >> _U(56)).astype(np.int64)
-    blocks = np.ceil((2.0 ** (code / 8.0) - 1) / spec.split).astype(np.int64)
-    plain = blocks <= 1
-    out = [[key[plain], text[plain], low_rank[plain], np.full(int(plain.sum()), 2, np.uint8)]]
-    hot = np.flatnonzero(~plain)
-    if len(hot):
-        mine = (mix64(sig[text[hot]].astype(np.uint64) ^ key[hot]) % blocks[hot].astype(np.uint64)).astype(np.int64)
-        times = blocks[hot]
-        rep = np.repeat(np.arange(len(hot)), times)
-        other = np.arange(len(rep)) - np.repeat(np.cumsum(times) - times, times)
-        me, i, j = mine[rep], np.minimum(mine[rep], other), np.maximum(mine[rep], other)
-        cell = mix64(key[hot][rep] ^ mix64((i * 65_536 + j + 1).astype(np.uint64)))
-        cell = (cell & _U((1 << 56) - 1)) | (key[hot][rep] & ~_U((1 << 56) - 1))
-        side = np.where(i == j, 2, np.where(me == i, 0, 1)).astype(np.uint8)
-        out.append([cell, text[hot][rep], low_rank[hot][rep], side])
-    key, text, low_rank, side = (np.concatenate(x) for x in zip(*out))
-    return key, sig[text], size[text].astype(np.uint32), role[text], low_rank, side
+    code = (key >> _U(56)).astype(np.uint8)
+    return key, sig[text], size[text].astype(np.uint32), role[text], low_rank, np.where(tasks[code] > 1, code, 0).astype(np.uint8)
 
 
 def _subsets(key, edge, which, size, sig, role, spec: JoinSpec, alone: bool = False):
@@ -274,13 +288,15 @@ def _subsets(key, edge, which, size, sig, role, spec: JoinSpec, alone: bool = Fa
             owner.append(np.full(len(a), i))
     owner = np.concatenate(owner)
     n = len(owner)
-    return np.concatenate(keys), sig[owner], size[owner].astype(np.uint32), role[owner], np.zeros(n, np.uint8), np.full(n, 2, np.uint8)
+    return np.concatenate(keys), sig[owner], size[owner].astype(np.uint32), role[owner], np.zeros(n, np.uint8), np.zeros(n, np.uint8)
 
 
-def _packed(columns, subset: bool, buckets: int):
+def _packed(columns, subset: bool, buckets: int, tasks: np.ndarray | None = None):
+    """Rows of packed lists by bucket. With tasks, a window that stands out is spread over so many buckets by its texts."""
     key, sig, size, role, rank, side = columns
     word = mix64(key & _U((1 << 56) - 1))
-    bucket = ((word >> _U(40)) % _U(buckets)).astype(np.int64)
+    spread = mix64(sig.astype(np.uint64)) % tasks[side] if tasks is not None else _U(0)
+    bucket = (((word >> _U(40)) + spread) % _U(buckets)).astype(np.int64)
     word &= _U((1 << 40) - 1)
     order = np.lexsort((role, sig, bucket))
     bucket, word, sig, size, role, rank, side = (x[order] for x in (bucket, word, sig, size, role, rank, side))
@@ -302,7 +318,47 @@ def _packed(columns, subset: bool, buckets: int):
 # --- the join: lists meet, bucket by bucket ---------------------------------
 
 
-def _meet_stage(spec: JoinSpec, light: int):
+_MET = "sig_a long, sig_b long, subset boolean, word binary, sig binary, size binary, role binary, rank binary, blocks binary"
+_HOT = {"word": "<u8", "sig": "<i8", "size": "<u4", "role": np.uint8, "rank": np.uint8, "blocks": "<u4"}
+
+
+def _handed_on(columns: dict[str, np.ndarray], subset: bool, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Entries of long lists, packed, for the second round."""
+    for lo in range(0, len(columns["word"]), rows):
+        packed = {k: pa.array([columns[k][lo : lo + rows].astype(kind).tobytes()], pa.binary()) for k, kind in _HOT.items()}
+        yield pa.RecordBatch.from_pydict({"sig_a": pa.array([None], pa.int64()), "sig_b": pa.array([None], pa.int64()), "subset": pa.array([subset]), **packed})
+
+
+def _spread_stage(spec: JoinSpec, buckets: int):
+    """The blocks of long lists, each pair of blocks a list of its own; an entry goes to as many as its list has blocks."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                word, sig, size, role, rank, blocks = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in _HOT.items())
+                times = blocks.astype(np.int64)
+                mine = (mix64(sig.astype(np.uint64) ^ word) % blocks.astype(np.uint64)).astype(np.int64)
+                step = max(1, spec.per_bucket * 4 // int(times.max()))
+                for lo in range(0, len(word), step):
+                    part = slice(lo, lo + step)
+                    rep = np.repeat(np.arange(len(word))[part], times[part])
+                    other = np.arange(len(rep)) - np.repeat(np.cumsum(times[part]) - times[part], times[part])
+                    me, i, j = mine[rep], np.minimum(mine[rep], other), np.maximum(mine[rep], other)
+                    cell = mix64(word[rep] ^ mix64((i.astype(np.uint64) << _U(32)) | (j + 1).astype(np.uint64)))
+                    side = np.where(i == j, 2, np.where(me == i, 0, 1)).astype(np.uint8)
+                    yield from _packed((cell, sig[rep], size[rep], role[rep], rank[rep], side), bool(batch.column("subset")[k].as_py()), buckets)
+
+    return run
+
+
+def _meet_stage(spec: JoinSpec, light: int, alone: np.ndarray | None):
+    """Candidate pairs of the lists of one bucket.
+
+    First round (with alone): lists beyond ``split``, and parts of lists that
+    are spread over tasks, are handed on.  Second round (None): lists are
+    pairs of blocks, and only entries of different sides of them meet.
+    """
+
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subset = key[1].as_py()
         parts: dict[str, list] = {}
@@ -316,7 +372,17 @@ def _meet_stage(spec: JoinSpec, light: int):
         order = np.lexsort((col["sizes"][owner], word))
         word, owner = word[order], owner[order]
         sig, size, role = col["sigs"][owner], col["sizes"][owner].astype(np.int64), col["roles"][owner]
-        low_rank, side = col["rank"][order].astype(np.int64) * size // 256, col["side"][order]
+        rank, side = col["rank"][order], col["side"][order]
+        if alone is not None:
+            edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            length = np.diff(np.append(edge, len(word)))
+            entries = np.maximum(np.repeat(length, length), alone[side])
+            hot = entries > spec.split
+            if hot.any():
+                yield from _handed_on({"word": word[hot], "sig": sig[hot], "size": size[hot], "role": role[hot], "rank": rank[hot], "blocks": np.ceil(entries[hot] / spec.split)}, subset)
+                word, sig, size, role, rank = (x[~hot] for x in (word, sig, size, role, rank))
+            side = np.full(len(word), 2, np.uint8)
+        low_rank = rank.astype(np.int64) * size // 256
         alive, step, found = np.arange(len(word) - 1), 1, []
         pending = 0
         while True:
@@ -361,15 +427,20 @@ def _unique_pairs(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def _pair_batch(x: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"sig_a": pa.array(x[0]), "sig_b": pa.array(x[1])})
+    none = {c.split()[0]: pa.nulls(x.shape[1], pa.bool_() if c.endswith("boolean") else pa.binary()) for c in _MET.split(", ")[2:]}
+    return pa.RecordBatch.from_pydict({"sig_a": pa.array(x[0]), "sig_b": pa.array(x[1]), **none})
 
 
 def candidate_pairs(docs: DataFrame, spec: JoinSpec) -> DataFrame:
     """Class pairs (sig_a < sig_b) whose fronts meet; a superset of the similar pairs."""
     order = corpus_order(docs, spec)
+    alone = standing_out(order, spec)
     shared = docs.sparkSession.sparkContext.broadcast(order.codes)  # 2**sketch_bits bytes, whatever the corpus
-    lists = docs.select("sig", "role", "text").mapInArrow(_list_stage(spec, order.light, order.buckets, shared), _LIST)
-    return lists.groupBy("bucket", "subset").applyInArrow(_meet_stage(spec, order.light), "sig_a long, sig_b long").distinct()
+    lists = docs.select("sig", "check", "role", "text").mapInArrow(_list_stage(spec, order.light, order.buckets, alone, shared), _LIST)
+    met = materialize(lists.groupBy("bucket", "subset").applyInArrow(_meet_stage(spec, order.light, alone), _MET), "met")
+    blocks = met.where("sig_a is null").mapInArrow(_spread_stage(spec, order.buckets), _LIST)
+    again = blocks.groupBy("bucket", "subset").applyInArrow(_meet_stage(spec, order.light, None), _MET)
+    return met.where("sig_a is not null").unionByName(again).select("sig_a", "sig_b").distinct()
 
 
 # --- verification -----------------------------------------------------------
@@ -378,7 +449,6 @@ def candidate_pairs(docs: DataFrame, spec: JoinSpec) -> DataFrame:
 def _verify_stage(spec: JoinSpec):
     def run(batches):
         for batch in _texts(batches):
-            sigs = batch.column("sig_a").to_pylist() + batch.column("sig_b").to_pylist()
             texts = batch.column("text_a").to_pylist() + batch.column("text_b").to_pylist()
             index: dict[str, int] = {}
             at = np.array([index.setdefault(t, len(index)) for t in texts])
@@ -396,10 +466,10 @@ def _verify_stage(spec: JoinSpec):
                 shared = int((both[1:] == both[:-1]).sum())
                 score = shared / (len(a) + len(b) - shared)
                 if score >= spec.threshold:
-                    rows.append((sigs[k], sigs[k + n], score))
+                    rows.append((k, score))
             if rows:
-                a, b, s = zip(*rows)
-                yield pa.RecordBatch.from_pydict({"sig_a": pa.array(a, pa.int64()), "sig_b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
+                take = pa.array([k for k, _ in rows])
+                yield pa.RecordBatch.from_pydict({**{c: batch.column(c).take(take) for c in ("sig_a", "check_a", "sig_b", "check_b")}, "similarity": pa.array([x for _, x in rows], pa.float64())})
 
     return run
 
@@ -414,19 +484,32 @@ def _filter_stage(bits: int):
                 h = mix64(b.column(c).to_numpy().astype(np.uint64))
                 word[(h & _U((1 << bits) - 1)).astype(np.int64)] = True
                 word[(h >> _U(64 - bits)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_pydict({"data": pa.array([pa.compress(np.packbits(word).tobytes(), codec="zstd", asbytes=True)], pa.binary())})
+        yield _chunks([0], [np.packbits(word)], _task())
 
     return run
 
 
-def class_filter(pairs: DataFrame, bits: int = 23) -> np.ndarray:
+def _or_stage(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    word = None
+    for b in batches:
+        for x, n in zip(b.column("data"), b.column("size").to_pylist()):
+            v = np.frombuffer(pa.decompress(x.as_py(), decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
+            word = v if word is None else word | v
+    yield _chunks([0], [word], key[0].as_py())
+
+
+def class_filter(pairs: DataFrame, bits: int = 23, fan_in: int = 256) -> np.ndarray:
     """A Bloom filter of 2**bits bits (1 MB) over the classes of candidate pairs.
 
     It only spares texts without candidates the shuffle; the join after it is
     exact.  Its size does not grow; over a very large corpus it passes more.
+    Every task makes one of its own, and they are merged ``fan_in`` at a time.
     """
     word = np.zeros((1 << bits) // 8, np.uint8)
-    for r in pairs.coalesce(8).mapInArrow(_filter_stage(bits), "data binary").toLocalIterator():
+    parts = pairs.mapInArrow(_filter_stage(bits), _COUNTS)
+    for _ in range(2):
+        parts = parts.withColumn("task", (F.col("task") / fan_in).cast("int")).groupBy("task").applyInArrow(_or_stage, _COUNTS)
+    for r in parts.toLocalIterator():
         word |= np.frombuffer(pa.decompress(r.data, decompressed_size=len(word), codec="zstd", asbytes=True), np.uint8)
     return word
 
@@ -446,9 +529,13 @@ def _passing_stage(shared, bits: int):
 def similar_classes(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     """Pairs of different texts of similarity ``threshold`` or more.
 
-    docs: sig long (a hash of the text: equal texts share it), role tinyint
-    (bit 1: left side, bit 2: right side; 3 for both), text.  Returns
-    sig_a < sig_b, similarity; one row a pair of classes.
+    docs: sig and check long (two hashes of the text, see ``identity``), role
+    tinyint (bit 1: left side, bit 2: right side; 3 for both), text.  Returns
+    sig_a, check_a, sig_b, check_b (sig_a < sig_b) and similarity; one row a
+    pair of classes.
+
+    Lists know a text by sig alone, so that texts of one sig are all verified
+    against its candidates; results know it by both, 128 bits.
 
     Null and short texts (fewer tokens than ``width``) have no windows and so
     no partners.  Repeated rows count once.  An empty table gives no rows.
@@ -456,7 +543,13 @@ def similar_classes(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     pairs = materialize(candidate_pairs(docs, spec), "candidates")
     bits = 23
-    shared = sc.broadcast(class_filter(pairs, bits))
-    texts = docs.select("sig", "text").mapInArrow(_passing_stage(shared, bits), "sig long, text string").dropDuplicates(["sig"])
-    joined = pairs.join(texts.select(F.col("sig").alias("sig_a"), F.col("text").alias("text_a")), "sig_a").join(texts.select(F.col("sig").alias("sig_b"), F.col("text").alias("text_b")), "sig_b")
-    return joined.select("sig_a", "sig_b", "text_a", "text_b").mapInArrow(_verify_stage(spec), "sig_a long, sig_b long, similarity double")
+    shared = sc.broadcast(class_filter(pairs, bits, spec.fan_in))
+    texts = docs.select("sig", "check", "text").mapInArrow(_passing_stage(shared, bits), "sig long, check long, text string").dropDuplicates(["sig", "check"])
+    a, b = (texts.select(*[F.col(c).alias(f"{c}_{side}") for c in ("sig", "check", "text")]) for side in "ab")
+    joined = pairs.join(a, "sig_a").join(b, "sig_b")
+    return joined.select("sig_a", "check_a", "sig_b", "check_b", "text_a", "text_b").mapInArrow(_verify_stage(spec), "sig_a long, check_a long, sig_b long, check_b long, similarity double")
+
+
+def identity(text: str) -> list[Column]:
+    """The two hashes a class of equal texts is known by."""
+    return [F.xxhash64(text).alias("sig"), F.xxhash64(F.lit("check"), F.col(text)).alias("check")]
