@@ -18,12 +18,18 @@ from textloom.session import materialize
 PACK = 500
 
 
-def packed(members: DataFrame, by: list[str], size: int = PACK) -> DataFrame:
-    """(*by, pack, packs, ids) from (*by, id): the members of each class in packs of about ``size``; null classes have none."""
-    sizes = members.groupBy(*by).agg(F.ceil(F.count("*") / size).cast("int").alias("packs"))
-    many = sizes.where("packs > 1")
-    rows = members.join(many, by, "left").withColumn("packs", F.coalesce("packs", F.lit(1)))
-    return rows.groupBy(*by, F.pmod(F.xxhash64("id"), F.col("packs")).cast("int").alias("pack")).agg(F.first("packs").alias("packs"), F.collect_list("id").alias("ids"))
+def sizes(members: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, n): members of each class, repeated rows counted as often as they are there."""
+    return members.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def packed(members: DataFrame, classes: DataFrame, by: list[str], size: int = PACK) -> DataFrame:
+    """(*by, pack, packs, ids): the members (*by, id) of the named classes (*by, n) in packs of about ``size``; repeated members count once."""
+    named = classes.select(*by, F.ceil(F.col("n") / size).cast("int").alias("packs"))
+    rows = members.join(named, by).withColumn("pack", F.pmod(F.xxhash64("id"), F.col("packs")).cast("int"))
+    # by pack too, so that a hot class is no single task
+    packs = rows.repartition(*by, "pack").groupBy(*by, "pack").agg(F.first("packs").alias("packs"), F.collect_set("id").alias("ids"))
+    return materialize(packs, "packs")
 
 
 def _side(packs: DataFrame, by: list[str], side: str) -> DataFrame:
@@ -33,7 +39,7 @@ def _side(packs: DataFrame, by: list[str], side: str) -> DataFrame:
 def _unfolded(cells: DataFrame, left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """(x, y) of the members of each cell (*by_a, pack_a, *by_b, pack_b)."""
     met = cells.join(_side(left, by, "a"), [*[f"{c}_a" for c in by], "pack_a"]).join(_side(right, by, "b"), [*[f"{c}_b" for c in by], "pack_b"])
-    return met.select(F.explode("ids_a").alias("x"), "ids_b").select("x", F.explode("ids_b").alias("y")).where("x <> y")
+    return met.select("pack_a", "pack_b", F.explode("ids_a").alias("x"), "ids_b").select("pack_a", "pack_b", "x", F.explode("ids_b").alias("y"))
 
 
 def _numbered(packs: DataFrame, by: list[str], side: str) -> DataFrame:
@@ -50,7 +56,7 @@ def across(links: DataFrame, left: DataFrame, right: DataFrame, by: list[str]) -
     number = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"packs_{side}") - 1)).alias(f"pack_{side}")
     keys = [f"{c}_{side}" for side in "ab" for c in by]
     cells = cells.select(*keys, "packs_b", number("a")).select(*keys, "pack_a", number("b"))
-    return _unfolded(cells, left, right, by)
+    return _unfolded(cells, left, right, by).where("x <> y").select("x", "y")
 
 
 def inside(packs: DataFrame, by: list[str]) -> DataFrame:
@@ -58,11 +64,6 @@ def inside(packs: DataFrame, by: list[str]) -> DataFrame:
     classes = _numbered(packs.where("packs > 1 or size(ids) > 1"), by, "a")
     first = classes.select(*[f"{c}_a" for c in by], "packs_a", F.explode(F.sequence(F.lit(0), F.col("packs_a") - 1)).alias("pack_a"))
     cells = first.select(*[f"{c}_a" for c in by], *[F.col(f"{c}_a").alias(f"{c}_b") for c in by], "pack_a", F.explode(F.sequence(F.col("pack_a"), F.col("packs_a") - 1)).alias("pack_b"))
-    pairs = _unfolded(cells, packs, packs, by)
     # a pack meets itself in both orders, two packs in one
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-
-
-def written(packs: DataFrame) -> DataFrame:
-    """Packs that several joins read."""
-    return materialize(packs, "packs")
+    pairs = _unfolded(cells, packs, packs, by).where("x < y or (pack_a < pack_b and x <> y)")
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))

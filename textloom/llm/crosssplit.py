@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.classpairs import across, packed, written
+from textloom.llm.classpairs import across, packed, sizes
 from textloom.llm.nearcopies import CLASS
 from textloom.llm.setjoin import JoinSpec, identity, similar_classes
 from textloom.session import materialize
@@ -46,21 +46,20 @@ def cross_split_links(samples: DataFrame, spec: JoinSpec = SPEC) -> DataFrame:
     rows = with_role(samples)
     plain = canonical(F.col("text"))
     long = F.size(F.split(plain, " ", spec.width)) >= spec.width
-    told = rows.select("id", "role", *identity("text"), "text").withColumn("kept", F.when(long, plain).otherwise(F.concat(F.lit("\n"), "text")))
-    told = materialize(told.select("id", "role", "sig", "check", F.xxhash64("kept").alias("h"), F.xxhash64(F.lit("check"), "kept").alias("g")).distinct(), "records")
+    told = rows.select("id", "role", *identity("text"), F.when(long, plain).otherwise(F.concat(F.lit("\n"), "text")).alias("kept"))
+    told = materialize(told.select("id", "role", "sig", "check", F.xxhash64("kept").alias("h"), F.xxhash64(F.lit("check"), "kept").alias("g")), "records")
+    evals, trains = told.where("role = 2"), told.where("role = 1")
     links = materialize(similar_classes(rows.select(*identity("text"), "role", "text"), spec).drop("similarity"), "links")
-    turned = links.select(*[F.col(f"{c}_{x}").alias(f"{c}_{y}") for x, y in ("ba", "ab") for c in CLASS])
     # a text may stand on both sides, so that links are asked in both directions
-    both = links.unionByName(turned)
+    both = links.unionByName(links.select(*[F.col(f"{c}_{x}").alias(f"{c}_{y}") for x, y in ("ba", "ab") for c in CLASS]))
     ends = both.select(*[F.col(f"{c}_a").alias(c) for c in CLASS]).distinct()
-    linked = told.join(ends, CLASS, "left_semi")
-    evals, trains = (written(packed(linked.where(F.col("role") == role).select("id", *CLASS).distinct(), CLASS)) for role in (2, 1))
-    near = across(both, evals, trains, CLASS).select(F.col("x").alias("eval_id"), F.col("y").alias("train_id"), F.lit(0).alias("e"))
-    met = told.groupBy("h", "g").agg(F.count_distinct("role").alias("n")).where("n > 1").select("h", "g")
-    on_both = told.join(met, ["h", "g"], "left_semi").select("id", "role", "h", "g").distinct()
-    evals, trains = (written(packed(on_both.where(F.col("role") == role).select("id", "h", "g"), ["h", "g"])) for role in (2, 1))
-    same = met.select(*[F.col(c).alias(f"{c}_{x}") for x in "ab" for c in ("h", "g")])
-    exact = across(same, evals, trains, ["h", "g"]).select(F.col("x").alias("eval_id"), F.col("y").alias("train_id"), F.lit(1).alias("e"))
+    near = across(both, *[packed(x.select("id", *CLASS), sizes(x, CLASS).join(ends, CLASS, "left_semi"), CLASS) for x in (evals, trains)], CLASS)
+    keys = ["h", "g"]
+    met = told.groupBy(*keys).agg(F.count_if(F.col("role") == 2).alias("n_2"), F.count_if(F.col("role") == 1).alias("n_1")).where("n_1 > 0 and n_2 > 0")
+    met = materialize(met, "met")
+    same = met.select(*[F.col(c).alias(f"{c}_{x}") for x in "ab" for c in keys])
+    exact = across(same, *[packed(x.select("id", *keys), met.withColumnRenamed(n, "n"), keys) for x, n in ((evals, "n_2"), (trains, "n_1"))], keys)
+    near, exact = (x.select(F.col("x").alias("eval_id"), F.col("y").alias("train_id"), F.lit(e).alias("e")) for x, e in ((near, 0), (exact, 1)))
     return near.unionByName(exact).groupBy("eval_id", "train_id").agg((F.max("e") == 1).alias("exact"))
 
 

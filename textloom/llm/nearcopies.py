@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.classpairs import across, inside, packed, written
+from textloom.llm.classpairs import across, inside, packed, sizes
 from textloom.llm.setjoin import JoinSpec, identity, similar_classes
 from textloom.operators.components import connected_components
 from textloom.session import materialize
@@ -20,8 +20,8 @@ def _present(records: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def members(records: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(id, sig, check): the class of equal texts each record belongs to. Null texts and keys belong to none."""
-    return _present(records, key, text).select("id", *identity("text")).distinct()
+    """(id, sig, check): the class of equal texts each record belongs to, as often as it is delivered. Null texts and keys belong to none."""
+    return _present(records, key, text).select("id", *identity("text"))
 
 
 def class_links(records: DataFrame, key: str = "id", text: str = "text", spec: JoinSpec = SPEC) -> DataFrame:
@@ -38,10 +38,10 @@ def near_duplicate_pairs(records: DataFrame, key: str = "id", text: str = "text"
     """All pairs (id_a < id_b) of records whose texts are equal or similar enough."""
     links = materialize(class_links(records, key, text, spec).drop("similarity"), "links")
     who = members(records, key, text)
-    ends = links.select(F.col("sig_a").alias("sig"), F.col("check_a").alias("check")).unionAll(links.select(F.col("sig_b").alias("sig"), F.col("check_b").alias("check")))
+    ends = links.select(F.col("sig_a").alias("sig"), F.col("check_a").alias("check")).unionAll(links.select(F.col("sig_b").alias("sig"), F.col("check_b").alias("check"))).distinct()
     # only classes with a link or with two members have pairs
-    wanted = ends.unionAll(who.groupBy(*CLASS).agg(F.count("*").alias("n")).where("n > 1").select(*CLASS)).distinct()
-    packs = written(packed(who.join(wanted, CLASS, "left_semi"), CLASS))
+    wanted = sizes(who, CLASS).join(ends.withColumn("linked", F.lit(True)), CLASS, "left").where("linked or n > 1")
+    packs = packed(who, wanted, CLASS)
     between = across(links, packs, packs, CLASS)
     pairs = between.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return pairs.unionAll(inside(packs, CLASS)).distinct()
@@ -56,7 +56,7 @@ def near_duplicate_groups(records: DataFrame, key: str = "id", text: str = "text
     """
     name = lambda side="": F.concat_ws(":", f"sig{side}", f"check{side}")
     links = materialize(class_links(records, key, text, spec).select(name("_a").alias("a"), name("_b").alias("b")), "links")
-    who = materialize(members(records, key, text).select("id", name().alias("class")), "members")
+    who = materialize(members(records, key, text).select("id", name().alias("class")).distinct(), "members")
     found = connected_components(links)
     degree = links.select(F.col("a").alias("class")).unionAll(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
     classes = who.groupBy("class").agg(F.count("*").alias("n_copies"), F.min("id").alias("first"))

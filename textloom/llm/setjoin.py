@@ -516,12 +516,15 @@ def class_filter(pairs: DataFrame, bits: int = 23, fan_in: int = 256) -> np.ndar
 
 def _passing_stage(shared, bits: int):
     def run(batches):
-        word = np.unpackbits(shared.value).astype(bool)
+        word, seen = np.unpackbits(shared.value).astype(bool), set()
         for b in batches:
             h = mix64(b.column("sig").to_numpy().astype(np.uint64))
             ok = word[(h & _U((1 << bits) - 1)).astype(np.int64)] & word[(h >> _U(64 - bits)).astype(np.int64)]
-            if ok.any():
-                yield b.filter(pa.array(ok))
+            at = np.flatnonzero(ok)
+            # copies of a text leave a task once
+            fresh = [i for i, k in zip(at.tolist(), zip(b.column("sig").take(pa.array(at)).to_pylist(), b.column("check").take(pa.array(at)).to_pylist())) if not (k in seen or seen.add(k))]
+            if fresh:
+                yield b.take(pa.array(fresh))
 
     return run
 
@@ -544,7 +547,7 @@ def similar_classes(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     pairs = materialize(candidate_pairs(docs, spec), "candidates")
     bits = 23
     shared = sc.broadcast(class_filter(pairs, bits, spec.fan_in))
-    texts = docs.select("sig", "check", "text").mapInArrow(_passing_stage(shared, bits), "sig long, check long, text string").dropDuplicates(["sig", "check"])
+    texts = docs.select("sig", "check", "text").mapInArrow(_passing_stage(shared, bits), "sig long, check long, text string").repartition("sig").dropDuplicates(["sig", "check"])
     a, b = (texts.select(*[F.col(c).alias(f"{c}_{side}") for c in ("sig", "check", "text")]) for side in "ab")
     joined = pairs.join(a, "sig_a").join(b, "sig_b")
     return joined.select("sig_a", "check_a", "sig_b", "check_b", "text_a", "text_b").mapInArrow(_verify_stage(spec), "sig_a long, check_a long, sig_b long, check_b long, similarity double")
