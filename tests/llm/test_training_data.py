@@ -88,6 +88,7 @@ def test_hot_classes_are_packed(spark, monkeypatch):
     from textloom.llm import classpairs
 
     monkeypatch.setattr(classpairs.packed, "__defaults__", (4,))
+    assert classpairs.packed.__defaults__ == (4,)
     text, near = " ".join(f"w{i}" for i in range(30)), " ".join(f"w{i}" for i in range(31))
     rows = [(f"a{k:02}", text) for k in range(23)] + [(f"b{k:02}", near) for k in range(9)] + [("c", "other words stand here and nothing else is said")]
     got = [tuple(r) for r in nearcopies.near_duplicate_pairs(spark.createDataFrame(rows, "id string, text string")).collect()]
@@ -181,9 +182,40 @@ PAIRS = [
 ]
 
 
-@pytest.mark.parametrize(("task", "prompt", "text", "want"), PAIRS)
-def test_defects(task, prompt, text, want):
-    assert pairdefects.defect(task, prompt, text) == want
+def test_defects(spark, sf_dir):
+    spec = languages.LanguageSpec()
+    scores = languages.WordScores(languages.fit_languages(spark.read.parquet(f"{sf_dir}/samples.parquet")), spec)
+    task, prompt, text, want = zip(*PAIRS)
+    assert pairdefects.defects(task, prompt, text, scores) == list(want)
+    assert pairdefects.defects(task, prompt, text, None) == [None if w == "wrong_language" else w for w in want]
+    assert pairdefects.defects([], [], [], scores) == []
+
+
+STORY = "Il villaggio era quieto e la casa sulla collina era vuota. "
+NO_REFUSALS = [
+    "Non posso dire che fosse bello. " + STORY * 3, "Das kann ich nicht glauben, sagte er, und ging nach Hause.", "No puedo más, dijo ella.", "As an AI researcher she knew the answer.", "I'm not able to sleep when the wind blows.", "He said: I can't write this. " + "The road was quiet and the house on the hill was empty. " * 3,
+    "Je ne peux pas oublier cette maison.", "Δεν μπορώ να κοιμηθώ απόψε.", "Non posso. Kann ich nicht. No puedo.",
+]
+ALL_REFUSALS = ["Leider kann ich diesen Text nicht übersetzen.", "Mi spiace, non posso tradurre questo brano.", "Sorry, I can’t help with that.", "Lo siento, no puedo continuar este relato.", "I must decline this request because of my guidelines. Please try something else."]
+
+
+@pytest.mark.parametrize("text", NO_REFUSALS)
+def test_words_of_refusals_in_answers(text):
+    assert not pairdefects.is_refusal(text)
+
+
+@pytest.mark.parametrize("text", ALL_REFUSALS)
+def test_refusals_in_other_words(text):
+    assert pairdefects.is_refusal(text) and pairdefects.defects(["continue"], ["p\n\nbody"], [text], None) == ["refusal"]
+
+
+def test_containment_equals_sets():
+    rng = random.Random(4)
+    pairs = [(" ".join(rng.choice("abc") for _ in range(rng.randint(0, 12))), " ".join(rng.choice("abc") for _ in range(rng.randint(0, 12)))) for _ in range(80)]
+    got = pairdefects._containment(pairdefects.TokenBatch([a for a, _ in pairs]), pairdefects.TokenBatch([b for _, b in pairs]))
+    for (a, b), share in zip(pairs, got):
+        x, y = ({tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (a.split(), b.split()))
+        assert share == (len(x & y) / len(x) if x else 1.0)
 
 
 def test_remark_before_an_answer_is_no_refusal():
@@ -377,7 +409,7 @@ def test_hostile_tables(spark, empty):
     m = spark.createDataFrame([("m", "s", 1.0, 2, 0.5), ("m", None, None, None, None), (None, "s", 1.0, 1, 1.0)], "mix_name string, source string, target_share double, max_repeats int, size_factor double")
     spec = setjoin.JoinSpec(sketch_bits=17)
     got = {
-        "p1": cutoff.cut_records(s), "p1r": cutoff.cut_rates(s), "p2": nearcopies.near_duplicate_pairs(s, spec=spec), "p2g": nearcopies.near_duplicate_groups(s, spec=spec), "p3": pairdefects.pair_defects(g), "p3r": pairdefects.defect_rates(g), "p4": splitplan.assign_splits(s, t), "p4r": splitplan.split_report(s, t),
+        "p1": cutoff.cut_records(s), "p1r": cutoff.cut_rates(s), "p2": nearcopies.near_duplicate_pairs(s, spec=spec), "p2g": nearcopies.near_duplicate_groups(s, spec=spec), "p3": pairdefects.pair_defects(g, s), "p3r": pairdefects.defect_rates(g, s), "p4": splitplan.assign_splits(s, t), "p4r": splitplan.split_report(s, t),
         "p5": languages.mislabelled_segments(s), "p5d": languages.document_languages(s), "p6": crosssplit.cross_split_pairs(s, spec), "p6r": crosssplit.cross_split_report(s, spec), "p7": leaks.leaks(d, e), "p7i": leaks.leaked_items(d, e), "p8": mixture.mix_documents(d, m), "p8r": mixture.mix_report(d, m), "p9": garbled.garbled_documents(d),
     }
     got = {k: sorted(map(tuple, v.collect()), key=str) for k, v in got.items()}

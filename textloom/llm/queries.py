@@ -56,11 +56,11 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairdefects.pair_defects(table(spark, sf_dir, "generations"))
+    return pairdefects.pair_defects(table(spark, sf_dir, "generations"), table(spark, sf_dir, "samples"))
 
 
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairdefects.defect_rates(table(spark, sf_dir, "generations"))
+    return pairdefects.defect_rates(table(spark, sf_dir, "generations"), table(spark, sf_dir, "samples"))
 
 
 def p4_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
