@@ -5,7 +5,7 @@ import pytest
 from textloom.plans import catalogue
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
-SLOW = {"q_ensemble_scores", "q_calibrators"}
+SLOW = {"q_ensemble_scores", "q_calibrators", "q_detector_inference"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -1,4 +1,4 @@
-"""Queries over whole tables beside those that take a part."""
+"""Queries over whole tables, against hand-made ones."""
 
 import hashlib
 import html
@@ -12,7 +12,7 @@ from textloom.plans import catalogue
 def test_tasks_are_dealt_over_all_samples(spark, tmp_path):
     rows = [(f"i{k:02}", k // 4 % 2, ["legal", "web", None][k % 3]) for k in range(24)]
     spark.createDataFrame([*rows, (None, 0, "legal"), rows[0]], "id string, label int, domain string").write.parquet(f"{tmp_path}/samples.parquet")
-    got = {r.id: r.task for r in catalogue.queries()["q_task_assignment_all"](spark, str(tmp_path)).collect()}
+    got = {r.id: r.task for r in catalogue.queries()["q_task_assignment"](spark, str(tmp_path)).collect()}
     tasks = ["continue", "paraphrase", "paraphrase_ai", "polish"]
     assert got == {i: tasks[k % 4] for k, (i, label, _) in enumerate(rows) if label == int(tasks[k % 4] == "paraphrase_ai")}
 
@@ -23,7 +23,7 @@ def test_entities_are_undone_over_all_documents(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.t for r in rows.select("doc_id", A.normalize_unicode("text").alias("t")).collect()}
     assert got == {k: unicodedata.normalize("NFC", html.unescape(t)) for k, t in texts.items()}
-    got = {r.doc_id: r.composed for r in catalogue.queries()["q_normalize_unicode_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.composed for r in catalogue.queries()["q_normalize_unicode"](spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.md5(unicodedata.normalize("NFC", html.unescape(t)).encode()).hexdigest() for k, t in texts.items()}
 
 

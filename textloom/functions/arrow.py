@@ -19,6 +19,12 @@ def normalize_unicode(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", html.unescape(t)), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def compose(text: pd.Series) -> pd.Series:
+    """Characters composed (NFC); null stays null."""
+    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
 @F.pandas_udf(DoubleType())
 def compression_ratio(text: pd.Series) -> pd.Series:
     """Mean ratio of zlib 9 over pieces of at most 1000 characters; null under 300 characters."""

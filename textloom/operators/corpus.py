@@ -96,7 +96,7 @@ def round_robin(rows: DataFrame, key: str, names: list[str], column: str) -> Dat
     """
     spark = rows.sparkSession
     ordered = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    ordered = ordered.persist()  # partition numbers must be the same in both uses
+    ordered = materialize(ordered, "ordered")  # partition numbers must be the same in both uses
     sizes = sorted((r._p, r.n) for r in ordered.groupBy("_p").agg(F.count("*").alias("n")).collect())  # a row a partition
     before, start = [], 0
     for p, n in sizes:

@@ -1,8 +1,7 @@
 """Statistics of documents by family; undefined values are null.
 
-Word-level families work on the word table: what depends on order uses the
-distance to the word's last occurrence (``lag`` over document and word), so
-that moving windows cost a number a word and not a set a window.
+What needs a document's words in order stays inside its row (``wordstats``);
+what needs the corpus leaves it as counts of words.
 """
 
 from __future__ import annotations
@@ -15,8 +14,10 @@ from pyspark.sql.window import Window
 
 from textloom.functions import lexicons as L
 from textloom.functions import text as T
+from textloom.functions import wordstats as W
 from textloom.functions.stats import burst, chunk_of, cv, entropy, r6, std
 from textloom.operators import sentencetable as S
+from textloom.session import materialize
 
 FLOOR = 1e-8
 
@@ -112,46 +113,37 @@ def punctuation(docs: DataFrame) -> DataFrame:
     return out.join(bigram, "doc_id", "left")
 
 
+def vocabulary_base(docs: DataFrame, window: int = 50) -> DataFrame:
+    """One row a document with words: its counts and moving statistics, and its types with their counts; see ``wordstats``."""
+    words = S.word_arrays(docs).select("doc_id", F.transform("w", lambda x: x["word"]).alias("w"))
+    return words.mapInArrow(W.vocabulary_rows(window), W.ROWS)
+
+
 def vocabulary(docs: DataFrame, window: int = 50) -> DataFrame:
-    w = S.word_table(docs)
-    size = Window.partitionBy("doc_id")
-    w = w.withColumn("n", F.count("*").over(size)).withColumn("prev", F.lag("pos").over(Window.partitionBy("doc_id", "word").orderBy("pos")))
-    k = F.least(F.lit(window), F.col("n"))
-    # windows [i, i + k) that hold this place and not the word's last occurrence
-    first = F.greatest(F.coalesce(F.col("prev") + 1, F.lit(0)), F.col("pos") - k + 1, F.lit(0))
-    new_in = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n") - k) - first + 1)
-    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w = w.withColumns({"k": k, "new_in": new_in, "types": F.sum(F.col("prev").isNull().cast("int")).over(upto), "i": F.col("pos") + 1})
-    sampled = (F.col("i") % 10 == 0) & (F.col("n") >= 120)
-    slope = F.regr_slope(F.when(sampled, F.log("types")), F.when(sampled, F.log("i")))
-    seq = w.groupBy("doc_id").agg(F.max("n").alias("n_words"), r6(F.sum("new_in") / (F.max("k") * (F.max("n") - F.max("k") + 1))).alias("voc_mattr"), F.round(slope, 5).alias("voc_heaps_slope"))
-    types = w.groupBy("doc_id", "word").agg(F.count("*").alias("c"))
-    n = F.sum("c")
-    yule = types.groupBy("doc_id").agg(r6(F.when(n >= 20, 1e4 * (F.sum(F.col("c") * F.col("c")) - n) / (n * n))).alias("voc_yule_k"))
-    chunks = w.withColumn("ch", chunk_of(F.col("pos"), F.col("n"), 100)).groupBy("doc_id", "ch", "word").agg(F.count("*").alias("c"))
-    per = chunks.groupBy("doc_id", "ch").agg(F.sum("c").alias("m"), (F.count_if(F.col("c") == 1) / F.count("*")).alias("h"), (F.count_if(F.col("c") == 2) / F.count("*")).alias("d")).where("m >= 50")
-    hapax = per.groupBy("doc_id").agg(r6(F.avg("h")).alias("voc_hapax_ratio"), r6(F.avg("d")).alias("voc_dis_ratio"))
-    function = F.array(*[F.lit(x) for x in L.FUNCTION])
-    content = w.where(~F.array_contains(function, F.col("word"))).select("doc_id", "word", "pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).alias("cp"))
-    content = content.withColumn("gap", F.col("cp") - F.lag("cp").over(Window.partitionBy("doc_id", "word").orderBy("cp")))
-    freq = word_frequencies(docs).select("word", (F.log10("f") + 9).alias("z"))
-    local = content.groupBy("doc_id", "word").agg(F.count("*").alias("c"), F.count_if(F.col("gap") <= 50).alias("r")).join(freq, "word")
+    """Lexical diversity and density of each document with words.
+
+    Only the types of a document leave its row, with their counts, to meet the
+    corpus's frequencies.
+    """
+    base = materialize(vocabulary_base(docs, window), "vocabulary")
+    types = base.select("doc_id", F.inline(F.arrays_zip("types", "counts", "content"))).select("doc_id", F.col("types").alias("word"), F.col("counts").alias("c"), "content")
+    n = types.groupBy("word").agg(F.sum("c").alias("n"))
+    total = n.agg(F.sum("n").alias("total"))
+    freq = n.crossJoin(F.broadcast(total)).select("word", (F.log10(F.col("n") / F.col("total")) + 9).alias("z"))  # one row
     m = F.sum("c")
     zm = F.sum(F.col("z") * F.col("c")) / m
-    dense = local.groupBy("doc_id").agg(m.alias("m"), r6(F.when(m >= 20, F.sum("r") / m)).alias("voc_local_repeat_frac"), r6(zm).alias("voc_zipf_mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("z") * F.col("z") * F.col("c")) / m - zm * zm)), 5).alias("voc_zipf_std"), r6(F.sum(F.when(F.col("z") < 5, F.col("c")).otherwise(0)) / m).alias("voc_rare_frac"))
-    out = seq.join(yule, "doc_id").join(hapax, "doc_id", "left").join(dense, "doc_id", "left")
-    return out.withColumn("voc_lexical_density", r6(F.coalesce("m", F.lit(0)) / F.col("n_words"))).drop("m")
+    dense = types.where("content").join(freq, "word").groupBy("doc_id").agg(r6(zm).alias("voc_zipf_mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("z") * F.col("z") * F.col("c")) / m - zm * zm)), 5).alias("voc_zipf_std"), r6(F.sum(F.when(F.col("z") < 5, F.col("c")).otherwise(0)) / m).alias("voc_rare_frac"))
+    rows = base.select(
+        "doc_id", "n_words", r6(F.col("mattr")).alias("voc_mattr"), F.round("heaps", 5).alias("voc_heaps_slope"), r6(F.col("yule")).alias("voc_yule_k"), r6(F.col("hapax")).alias("voc_hapax_ratio"), r6(F.col("dis")).alias("voc_dis_ratio"),
+        r6(F.when(F.col("n_content") >= 20, F.col("near_repeats") / F.col("n_content"))).alias("voc_local_repeat_frac"), r6(F.col("n_content") / F.col("n_words")).alias("voc_lexical_density"),
+    )
+    return rows.join(dense, "doc_id", "left")
 
 
 def vocabulary_core(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc_id, word_length, function_share, mattr) from one pass over a document's words."""
-    w = S.word_table(docs)
-    function = F.array(*[F.lit(x) for x in L.FUNCTION])
-    w = w.withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("prev", F.lag("pos").over(Window.partitionBy("doc_id", "word").orderBy("pos")))
-    k = F.least(F.lit(window), F.col("n"))
-    first = F.greatest(F.coalesce(F.col("prev") + 1, F.lit(0)), F.col("pos") - k + 1, F.lit(0))
-    new_in = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n") - k) - first + 1)
-    return w.groupBy("doc_id").agg(F.avg(F.length("word")).alias("word_length"), F.avg(F.array_contains(function, F.col("word")).cast("double")).alias("function_share"), (F.sum(new_in) / (F.max(k) * (F.max("n") - F.max(k) + 1))).alias("mattr"))
+    base = vocabulary_base(docs, window)
+    return base.select("doc_id", (F.col("chars") / F.col("n_words")).alias("word_length"), (F.col("n_function") / F.col("n_words")).alias("function_share"), "mattr")
 
 
 def _grams(docs: DataFrame, n: int, chunk: int, least: int) -> DataFrame:

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def registered_sql(name: str) -> str:
-    """The SQL of a query that is registered already."""
+    """The SQL of a query that is registered already, for queries that build on it."""
     return _SQL[name]
 
 

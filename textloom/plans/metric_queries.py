@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.operators import metrics as M
-from textloom.plans.catalogue import query, registered_sql
+from textloom.plans.catalogue import query
 from textloom.session import table
 
 #: The last good analysis of each text, then one row a sample.
@@ -171,16 +171,11 @@ def q_disagreement(spark, sf_dir):
     return s.crossJoin(F.broadcast(med)).groupBy((F.col("spread") > F.col("med")).alias("disagree")).agg(F.count("*").alias("n"), F.round(F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double")), 6).alias("accuracy"), F.round(F.max("spread"), 6).alias("widest"))
 
 
-@query("q_bootstrap_auc", f"""with {_SCORED}, x as (select g, round(p, 6) as p, count(*) filter (where y = 1) as n1, count(*) filter (where y = 0) as n0 from sc group by 1, 2), r as (select *, unnest(range(1, 41)) as rep from x),
+@query("q_bootstrap_auc", f"""with {_SCORED}, x as (select g, round(p, 6) as p, count(*) filter (where y = 1) as n1, count(*) filter (where y = 0) as n0 from sc group by 1, 2), r as (select *, unnest(range(1, 501)) as rep from x),
 u as (select *, ('0x' || substr(md5('7|' || g || '|' || rep), 1, 15))::bigint / 1152921504606846976.0 as u from r), k as (select *, case when u < 0.36787944 then 0 when u < 0.73575888 then 1 when u < 0.9196986 then 2 when u < 0.98101184 then 3 when u < 0.99634015 then 4 when u < 0.99940582 then 5 else 6 end as k from u),
 c as (select rep, p, sum(k * n1)::double as pos, sum(k * n0)::double as neg from k where k > 0 group by 1, 2), v as (select *, sum(pos) over (partition by rep order by p desc rows unbounded preceding) as tp from c), a as (select rep, sum(neg * (tp - pos / 2)) / nullif(sum(pos) * sum(neg), 0) as auc from v group by rep)
 select round(avg(auc), 6) as auc, round(quantile_cont(auc, 0.025), 6) as low, round(quantile_cont(auc, 0.975), 6) as high, count(auc) as n_valid from a where auc is not null""")
 def q_bootstrap_auc(spark, sf_dir):
-    return M.bootstrap_auc(scored(spark, sf_dir), "g", 40)
-
-
-@query("q_bootstrap_auc_500", registered_sql("q_bootstrap_auc").replace("range(1, 41)", "range(1, 501)"))
-def q_bootstrap_auc_500(spark, sf_dir):
     return M.bootstrap_auc(scored(spark, sf_dir), "g")
 
 

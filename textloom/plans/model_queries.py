@@ -17,14 +17,16 @@ def _docs(spark, sf_dir):
     return S.documents(table(spark, sf_dir, "documents"))
 
 
-@query("q_normalize_unicode", "select doc_id, md5(nfc_normalize(text)) as composed from documents where doc_id is not null and text is not null and not contains(text, '&')")
-def q_normalize_unicode(spark, sf_dir):
-    return _docs(spark, sf_dir).where("not contains(text, '&')").select("doc_id", F.md5(A.normalize_unicode("text")).alias("composed"))
+@query("q_compose_unicode", r"select doc_id, md5(nfc_normalize(text)) as composed, len(regexp_extract_all(text, '&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);'))::int as n_references from documents where doc_id is not null and text is not null")
+def q_compose_unicode(spark, sf_dir):
+    """Composed texts and how many character references they hold."""
+    references = F.size(F.regexp_extract_all("text", F.lit("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"), F.lit(0)))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(A.compose("text")).alias("composed"), references.alias("n_references"))
 
 
-@query("q_normalize_unicode_all")
-def q_normalize_unicode_all(spark, sf_dir):
-    """All documents; DuckDB undoes no HTML entities, so that no SQL tells it."""
+@query("q_normalize_unicode")
+def q_normalize_unicode(spark, sf_dir):
+    """References undone and characters composed; DuckDB undoes no references, so that no SQL tells it."""
     return _docs(spark, sf_dir).select("doc_id", F.md5(A.normalize_unicode("text")).alias("composed"))
 
 

@@ -149,20 +149,12 @@ def q_hybrid_class(spark, sf_dir):
     return s.select("id", T.hybrid_class(F.col("ai_fraction")).alias("computed_class"), "hybrid_class")
 
 
-@query("q_task_assignment", "select id, ['continue', 'paraphrase', 'polish'][(row_number() over (order by id) - 1) % 3 + 1] as task from (select distinct id from samples where id is not null and label = 0 and domain = 'legal')")
-def q_task_assignment(spark, sf_dir):
-    from textloom.operators.corpus import round_robin
-
-    rows = table(spark, sf_dir, "samples").where("id is not null and label = 0 and domain = 'legal'").select("id").distinct()
-    return round_robin(rows, "id", ["continue", "paraphrase", "polish"], "task")
-
-
 _TASKS = ["continue", "paraphrase", "paraphrase_ai", "polish"]
 
 
-@query("q_task_assignment_all", f"select id, task from (select id, label, [{', '.join(map(P.q, _TASKS))}][(row_number() over (order by id) - 1) % {len(_TASKS)} + 1] as task from (select id, max(label) as label from samples where id is not null group by id)) where label = case when task = 'paraphrase_ai' then 1 else 0 end")
-def q_task_assignment_all(spark, sf_dir):
-    """Tasks in turn over all samples, kept where the task takes the sample's label, as in the reference; q_task_assignment takes one domain's label 0."""
+@query("q_task_assignment", f"select id, task from (select id, label, [{', '.join(map(P.q, _TASKS))}][(row_number() over (order by id) - 1) % {len(_TASKS)} + 1] as task from (select id, max(label) as label from samples where id is not null group by id)) where label = case when task = 'paraphrase_ai' then 1 else 0 end")
+def q_task_assignment(spark, sf_dir):
+    """Tasks in turn over all samples, kept where the task takes the sample's label."""
     from textloom.operators.corpus import round_robin
 
     rows = table(spark, sf_dir, "samples").where("id is not null").groupBy("id").agg(F.max("label").alias("label"))

@@ -10,7 +10,7 @@ from textloom.operators import similarity as M
 from textloom.operators import windows as W
 from textloom.operators.features import PUNCTUATION
 from textloom.plans import sqlparts as P
-from textloom.plans.catalogue import query, registered_sql
+from textloom.plans.catalogue import query
 from textloom.session import table
 
 
@@ -94,6 +94,32 @@ def q_redundancy(spark, sf_dir):
     return W.coherence(_sents(spark, sf_dir))
 
 
+_UNIT = f"""{P.SENTS}, cw as (select doc_id, idx, para, word, count(*)::double as c from (select doc_id, idx, para, unnest(w) as word from s) where not list_contains([{', '.join(P.q(x) for x in L.FUNCTION)}], word) group by 1, 2, 3, 4), nm as (select doc_id, idx, sqrt(sum(c * c)) as l from cw group by 1, 2), u as (select cw.doc_id, cw.idx, para, word, c / l as x from cw join nm on nm.doc_id = cw.doc_id and nm.idx = cw.idx), dn as (select doc_id, count(*) as n from s group by 1),
+me as (select u.doc_id, word, sum(x) / any_value(n) as m from u join dn using (doc_id) group by 1, 2), to_ as (select doc_id, sum(m * m) as t from me group by 1), ds as (select u.doc_id, idx, sum(x * m) as d from u join me on me.doc_id = u.doc_id and me.word = u.word group by 1, 2),
+cs as (select s.doc_id, coalesce(d / sqrt(t), 0) as v from s left join ds on ds.doc_id = s.doc_id and ds.idx = s.idx left join to_ on to_.doc_id = s.doc_id), ce as (select doc_id, avg(v) as m, stddev_pop(v) as sd from cs group by 1),
+pn as (select doc_id, para, count(*) as n, row_number() over (partition by doc_id order by para) as k from s group by 1, 2), pm as (select u.doc_id, k, word, sum(x) / any_value(n) as g from u join pn on pn.doc_id = u.doc_id and pn.para = u.para group by 1, 2, 3), pl as (select doc_id, k, sum(g * g) as l from pm group by 1, 2),
+pd as (select a.doc_id, a.k, sum(a.g * b.g) as d from pm a join pm b on a.doc_id = b.doc_id and a.word = b.word and b.k = a.k + 1 group by 1, 2), ps as (select a.doc_id, coalesce(d, 0) / sqrt(greatest(coalesce(x.l, 0), 1e-12) * greatest(coalesce(y.l, 0), 1e-12)) as v from pn a join pn b on b.doc_id = a.doc_id and b.k = a.k + 1 left join pd on pd.doc_id = a.doc_id and pd.k = a.k left join pl x on x.doc_id = a.doc_id and x.k = a.k left join pl y on y.doc_id = a.doc_id and y.k = a.k + 1), pa_ as (select doc_id, avg(v) as v from ps group by 1)"""
+
+
+@query("q_sem_centroid", f"with {_UNIT} select dn.doc_id, case when n >= 3 then round(m, 6) end as sem_centroid_mean, case when n >= 3 then round(sd, 5) end as sem_centroid_std, round(v, 6) as par_sem_adjacent from dn left join ce using (doc_id) left join pa_ using (doc_id)")
+def q_sem_centroid(spark, sf_dir):
+    return W.centroids(_docs(spark, sf_dir)).drop("sem_compression")
+
+
+@query("q_sem_compression")
+def q_sem_compression(spark, sf_dir):
+    return W.centroids(_docs(spark, sf_dir)).select("doc_id", "sem_compression")
+
+
+_DIFF = f"""{P.SENTS}, c as (select doc_id, idx, len(w)::double as n, case when len(w) > 0 then len(list_distinct(w)) / len(w) end as ttr, [{_PUN}] as pun, [{_CLS}, len(w)] as cls, count(*) over (partition by doc_id) as total from s),
+lr as (select a.doc_id, a.idx as b, {', '.join(f"[{', '.join(f'coalesce(sum(c.{col}[{i + 1}]) filter (where c.idx {op} a.idx), 0)::double' for i in range(size))}] as {col}{k}" for col, size in (('pun', len(PUNCTUATION)), ('cls', 7)) for k, op in ((0, '<'), (1, '>=')))}, avg(c.n) filter (where c.idx < a.idx) as n0, avg(c.n) filter (where c.idx >= a.idx) as n1, avg(c.ttr) filter (where c.idx < a.idx) as t0, avg(c.ttr) filter (where c.idx >= a.idx) as t1 from c a join c on c.doc_id = a.doc_id and c.idx between a.idx - 4 and a.idx + 3 where a.idx >= 3 and a.idx <= a.total - 3 group by 1, 2)"""
+
+
+@query("q_boundary_differences", f"with {_DIFF} select doc_id, b, round(({_js('pun0', 'pun1')} + {_js('cls0', 'cls1')}) / 2, 6) as style_js, round(abs(n0 - n1), 6) as sentence_length, round(abs(t0 - t1), 6) as vocabulary from lr")
+def q_boundary_differences(spark, sf_dir):
+    return W.boundary_differences(_sents(spark, sf_dir))
+
+
 @query("q_centroid", """with u as (select label, vec_id, list_transform(embedding, lambda v: v::double / sqrt(list_sum(list_transform(embedding, lambda z: z::double * z::double)))) as u from embeddings), p as (select label, vec_id, generate_subscripts(u, 1) as d, unnest(u) as x from u), c as (select label, d, avg(x) as c from p group by 1, 2), l as (select label, sqrt(sum(c * c)) as len from c group by 1),
 s as (select p.label, vec_id, sum(x * c) / any_value(len) as s from p join c on c.label = p.label and c.d = p.d join l on l.label = p.label group by 1, 2) select label, round(avg(s), 4) as mean_sim, round(stddev_pop(s), 4) as std_sim, count(*) as n from s group by 1""")
 def q_centroid(spark, sf_dir):
@@ -156,12 +182,13 @@ def _winnow(name: str, source: str, grams: str) -> str:
 
 
 _PRINTS = f"{_LIB}, {_grams('gs', 'ls', 5)}, {_grams('gr', 'lr', 5)}, {_winnow('fs', 'ls', 'gs')}, {_winnow('fr', 'lr', 'gr')}"
-_CAND = f"{_PRINTS}, cn as (select fs.key as key, fr.key as ref, count(*) as shared from fs join fr using (h) group by 1, 2), cd as (select * from (select *, row_number() over (partition by key order by shared desc, ref) as rank from cn) where rank <= 5)"
+_CAND = f"{_PRINTS}, cd as (select fs.key as key, fr.key as ref, count(*) as shared from fs join fr using (h) group by 1, 2)"
 
 
 def _pairs(spark, sf_dir):
+    """All references that share a fingerprint with a text."""
     s, r = _lib(spark, sf_dir)
-    return s, r, M.candidates(M.winnow(s, "id", hashed=_md5), M.winnow(r, "ref_id", hashed=_md5), 5)
+    return s, r, M.sharing(M.winnow(s, "id", hashed=_md5), M.winnow(r, "ref_id", hashed=_md5))
 
 
 @query("q_winnow", f"with {_PRINTS} select key, count(*) as n_prints, min(h) as least from fs group by key")
@@ -175,15 +202,17 @@ def q_winnow_crc32(spark, sf_dir):
     return M.winnow(_lib(spark, sf_dir)[1], "ref_id")
 
 
-@query("q_candidates", f"with {_CAND} select key, ref, shared, rank from cd")
+@query("q_candidates", f"with {_CAND} select key, ref, shared, rank from (select *, row_number() over (partition by key order by shared desc, ref) as rank from cd) where rank <= 20")
 def q_candidates(spark, sf_dir):
-    return _pairs(spark, sf_dir)[2]
+    """A report of the best twenty."""
+    s, r = _lib(spark, sf_dir)
+    return M.candidates(M.winnow(s, "id", hashed=_md5), M.winnow(r, "ref_id", hashed=_md5))
 
 
 @query("q_containment", f"with {_CAND}, tt as (select key, count(*) as n from gs group by 1), mi as (select key, g, count(*) as c from gs group by 1, 2), th as (select distinct key, g from gr), hh as (select cd.key, ref, sum(c) as k from cd join mi on mi.key = cd.key join th on th.key = ref and th.g = mi.g group by 1, 2) select cd.key, cd.ref, round(coalesce(k, 0) / n, 6) as containment5 from cd left join tt on tt.key = cd.key left join hh on hh.key = cd.key and hh.ref = cd.ref")
 def q_containment(spark, sf_dir):
     s, r, pairs = _pairs(spark, sf_dir)
-    return M.containment(pairs, M.grams(s, "id", 5), M.grams(r, "ref_id", 5), 5)
+    return M.containment(pairs, M.grams(s, "id", 5), M.grams(r, "ref_id", 5), 5, many=True)
 
 
 _RUNS = f"{_CAND}, ht as (select cd.key, ref, gs.pos as pa, gr.pos as pb from cd join gs on gs.key = cd.key join gr on gr.key = cd.ref and gr.g = gs.g), il as (select *, pa - row_number() over (partition by key, ref, pa - pb order by pa) as island from ht), rn as (select key, ref, min(pa) as start, min(pb) as ref_start, count(*) + 4 as length from il group by key, ref, pa - pb, island having count(*) + 4 >= 8)"
@@ -191,14 +220,14 @@ _RUNS = f"{_CAND}, ht as (select cd.key, ref, gs.pos as pa, gr.pos as pb from cd
 
 @query("q_exact_runs", f"with {_RUNS} select * from rn")
 def q_exact_runs(spark, sf_dir):
-    s, r, pairs = _pairs(spark, sf_dir)
-    return M.exact_runs(pairs, M.grams(s, "id", 5), M.grams(r, "ref_id", 5))
+    s, r = _lib(spark, sf_dir)
+    return M.exact_runs(None, M.grams(s, "id", 5), M.grams(r, "ref_id", 5))
 
 
 @query("q_coverage", f"with {_RUNS}, ex as (select distinct key, unnest(range(start, start + length)) as p from rn), ec as (select key, count(*) as k from ex group by 1) select ls.key, round(coalesce(k, 0) / len(w), 6) as covered from ls left join ec using (key) where len(w) > 0")
 def q_coverage(spark, sf_dir):
-    s, r, pairs = _pairs(spark, sf_dir)
-    return M.coverage(M.exact_runs(pairs, M.grams(s, "id", 5), M.grams(r, "ref_id", 5)), M.tokens(s, "id"))
+    s, r = _lib(spark, sf_dir)
+    return M.coverage(M.exact_runs(None, M.grams(s, "id", 5), M.grams(r, "ref_id", 5)), M.tokens(s, "id"))
 
 
 @query("q_tfidf_cosine", f"""with {_CAND}, lc as (select key, t, count(*)::double as c from (select key, unnest(w) as t from ls) group by 1, 2), rc as (select key, t, count(*)::double as d from (select key, unnest(w) as t from lr) group by 1, 2),
@@ -209,51 +238,6 @@ def q_tfidf_cosine(spark, sf_dir):
     return M.tfidf_cosine(pairs, M.tokens(s, "id"), M.tokens(r, "ref_id"))
 
 
-# The five queries above keep five references a text, as their SQL says. Below are all references that share a fingerprint,
-# with the same SQL over all of them, and the operator's top of twenty.
-
-_SHARING = f"{_PRINTS}, cd as (select fs.key as key, fr.key as ref, count(*) as shared from fs join fr using (h) group by 1, 2)"
-
-
-def _uncapped(name: str) -> str:
-    return registered_sql(name).replace(_CAND, _SHARING)
-
-
-def _all_pairs(spark, sf_dir):
-    s, r = _lib(spark, sf_dir)
-    return s, r, M.sharing(M.winnow(s, "id", hashed=_md5), M.winnow(r, "ref_id", hashed=_md5))
-
-
-@query("q_candidates_20", f"with {_SHARING} select key, ref, shared, rank from (select *, row_number() over (partition by key order by shared desc, ref) as rank from cd) where rank <= 20")
-def q_candidates_20(spark, sf_dir):
-    s, r = _lib(spark, sf_dir)
-    return M.candidates(M.winnow(s, "id", hashed=_md5), M.winnow(r, "ref_id", hashed=_md5))
-
-
-@query("q_containment_all", _uncapped("q_containment"))
-def q_containment_all(spark, sf_dir):
-    s, r, pairs = _all_pairs(spark, sf_dir)
-    return M.containment(pairs, M.grams(s, "id", 5), M.grams(r, "ref_id", 5), 5, many=True)
-
-
-@query("q_exact_runs_all", _uncapped("q_exact_runs"))
-def q_exact_runs_all(spark, sf_dir):
-    s, r = _lib(spark, sf_dir)
-    return M.exact_runs(None, M.grams(s, "id", 5), M.grams(r, "ref_id", 5))
-
-
-@query("q_coverage_all", _uncapped("q_coverage"))
-def q_coverage_all(spark, sf_dir):
-    s, r = _lib(spark, sf_dir)
-    return M.coverage(M.exact_runs(None, M.grams(s, "id", 5), M.grams(r, "ref_id", 5)), M.tokens(s, "id"))
-
-
-@query("q_tfidf_cosine_all", _uncapped("q_tfidf_cosine"))
-def q_tfidf_cosine_all(spark, sf_dir):
-    s, r, pairs = _all_pairs(spark, sf_dir)
-    return M.tfidf_cosine(pairs, M.tokens(s, "id"), M.tokens(r, "ref_id"))
-
-
 @query("q_similarity_report")
 def q_similarity_report(spark, sf_dir):
     s, r = _lib(spark, sf_dir)

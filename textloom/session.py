@@ -44,6 +44,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the folder is shared and outlives the session: what was written goes when the session's process ends
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
