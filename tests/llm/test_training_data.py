@@ -302,6 +302,39 @@ def test_leaks_tolerate_substitutions(spark):
     assert {r.item_id: r.n_documents for r in leaks.leaked_items(d, e).collect()} == {7: 2, 8: 0, 9: 0, 10: 2}
 
 
+def brute_overlap(own, doc, mismatch=3):
+    """(longest run, best score of an overlap with substitutions) over all diagonals."""
+    run = best = 0
+    for shift in range(-len(own) + 1, len(doc)):
+        now = score = 0
+        for k in range(max(0, -shift), min(len(own), len(doc) - shift)):
+            same = own[k] == doc[k + shift]
+            now = now + 1 if same else 0
+            score = max(0, score + (1 if same else -mismatch))
+            run, best = max(run, now), max(best, score)
+    return run, best
+
+
+def test_recall_of_substituted_passages(spark):
+    rng = random.Random(11)
+    items = [[f"v{rng.randrange(4000)}" for _ in range(60)] for _ in range(12)]
+    docs = []
+    for k in range(240):
+        own = items[k % 12]
+        a = rng.randrange(20)
+        held = [w if rng.random() > rng.choice([0.03, 0.06, 0.1, 0.14]) else "changed" for w in own[a : a + rng.randint(15, 40)]]
+        docs.append([f"x{rng.randrange(4000)}" for _ in range(10)] + held + [f"x{rng.randrange(4000)}" for _ in range(10)])
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    e = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").withColumn("eval_set", F.lit("s"))
+    truth = {(i, j): brute_overlap(own, doc) for i, doc in enumerate(docs) for j, own in enumerate(items)}
+    exact = {(r.doc_id, r.item_id) for r in leaks.leaked_pairs(d, e).collect()}
+    assert exact == {k for k, (run, _) in truth.items() if run >= 12}
+    changed = {(r.doc_id, r.item_id) for r in leaks.changed_pairs(d, e).collect()}
+    want = {k for k, (run, best) in truth.items() if run < 12 and best >= 12}
+    print("substituted passages found", len(changed & want), "of", len(want))
+    assert changed <= want and len(changed) >= 0.9 * len(want) > 20
+
+
 def test_sainte_lague():
     assert mixture.sainte_lague({"a": 53, "b": 24, "c": 23}, 7) == {"a": 3, "b": 2, "c": 2}
     assert mixture.sainte_lague({"a": 0.9, "b": 0.1}, 10, {"a": 3, "b": 100}) == {"a": 3, "b": 7}
@@ -410,7 +443,7 @@ def test_hostile_tables(spark, empty):
     spec = setjoin.JoinSpec(sketch_bits=17)
     got = {
         "p1": cutoff.cut_records(s), "p1r": cutoff.cut_rates(s), "p2": nearcopies.near_duplicate_pairs(s, spec=spec), "p2g": nearcopies.near_duplicate_groups(s, spec=spec), "p3": pairdefects.pair_defects(g, s), "p3r": pairdefects.defect_rates(g, s), "p4": splitplan.assign_splits(s, t), "p4r": splitplan.split_report(s, t),
-        "p5": languages.mislabelled_segments(s), "p5d": languages.document_languages(s), "p6": crosssplit.cross_split_pairs(s, spec), "p6r": crosssplit.cross_split_report(s, spec), "p7": leaks.leaks(d, e), "p7i": leaks.leaked_items(d, e), "p8": mixture.mix_documents(d, m), "p8r": mixture.mix_report(d, m), "p9": garbled.garbled_documents(d),
+        "p5": languages.mislabelled_segments(s), "p5d": languages.document_languages(s), "p6": crosssplit.cross_split_pairs(s, spec), "p6r": crosssplit.cross_split_report(s, spec), "p7": leaks.leaks(d, e), "p7i": leaks.leaked_items(d, e), "p7c": leaks.changed_pairs(d, e), "p8": mixture.mix_documents(d, m), "p8r": mixture.mix_report(d, m), "p9": garbled.garbled_documents(d),
     }
     got = {k: sorted(map(tuple, v.collect()), key=str) for k, v in got.items()}
     if empty:

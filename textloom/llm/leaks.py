@@ -157,11 +157,16 @@ def leaked_pairs(documents: DataFrame, eval_items: DataFrame, spec: LeakSpec = L
 
 
 def leaked_items(documents: DataFrame, eval_items: DataFrame, spec: LeakSpec = LeakSpec()) -> DataFrame:
-    """One row an item: documents that hold a run of it, those that hold it with substitutions only, and the longest run."""
-    found = leaks(documents, eval_items, spec).groupBy("item_id").agg(
-        F.count_if(F.col("longest_run") >= spec.run).alias("n_documents"),
-        F.count_if(F.col("longest_run") < spec.run).alias("n_changed_only"),
-        F.max("longest_run").alias("longest_run"),
-    )
+    """One row an item: documents that hold a run of it, and the longest run."""
+    found = leaks(documents, eval_items, spec).where(F.col("longest_run") >= spec.run).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("longest_run").alias("longest_run"))
     items = eval_items.where("item_id is not null").select(F.col("item_id").cast("long"), "eval_set").dropDuplicates(["item_id"])
-    return items.join(found, "item_id", "left").select("item_id", "eval_set", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_documents", "n_changed_only", "longest_run")])
+    return items.join(found, "item_id", "left").select("item_id", "eval_set", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_documents", "longest_run")])
+
+
+def changed_pairs(documents: DataFrame, eval_items: DataFrame, spec: LeakSpec = LeakSpec()) -> DataFrame:
+    """(doc_id, item_id, matched, substituted): passages held with substitutions only, no run of them long enough.
+
+    Found where twelve matched tokens are left after what substitutions cost;
+    a mask has to fit between the substitutions (see the README for recall).
+    """
+    return leaks(documents, eval_items, spec).where(F.col("longest_run") < spec.run).select("doc_id", "item_id", "matched", "substituted")
