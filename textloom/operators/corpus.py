@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from textloom.functions import lexicons as L
 from textloom.functions import text as T
 from textloom.functions.tokenarrays import TokenBatch, mix64, window_hashes
+from textloom.operators.sentencetable import by_key, spread
 from textloom.session import materialize
 
 
@@ -24,6 +25,24 @@ def uniform(*parts: Column | str, seed: str = "7") -> Column:
     return seeded(*parts, seed=seed) / F.lit(float(1 << 60))
 
 
+def hashed_rank(rows: DataFrame, by: list[str], order: Column, tie: str, name: str = "_rn", total: str | None = None) -> DataFrame:
+    """Adds the rank from 1 of each row within its stratum, by a hex hash and ``tie``; with total, the stratum's rows.
+
+    The same as one window a stratum, in two steps: rows are numbered within
+    the 4096 ranges of the hash's first digits, and what comes before a range
+    is summed from counts.  So a stratum of any size is many small sorts.
+    """
+    x = rows.withColumn("_h", order).withColumn("_s", F.struct(*by)).withColumn("_k", F.substring("_h", 1, 3))
+    counts = x.groupBy("_s", "_k").agg(F.count("*").alias("_c"))
+    stratum = Window.partitionBy("_s")  # at most 4096 rows a stratum
+    counts = counts.withColumn("_b", F.coalesce(F.sum("_c").over(stratum.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_c").over(stratum))
+    local = F.row_number().over(Window.partitionBy("_s", "_k").orderBy("_h", tie))
+    out = x.join(counts, ["_s", "_k"]).withColumn(name, local + F.col("_b"))
+    if total is not None:
+        out = out.withColumn(total, F.col("_n"))
+    return out.drop("_h", "_s", "_k", "_c", "_b", "_n")
+
+
 def genre(domain: Column) -> Column:
     out = F.lit("unknown")
     for k, v in L.GENRES.items():
@@ -70,8 +89,7 @@ def group_split(samples: DataFrame, test: float, calib: float, seed: str = "7",
     """
     groups = samples.groupBy("group_key").agg(F.min_by("stratum", "id").alias("stratum"), F.max(forced if forced is not None else F.lit(False)).alias("forced"))
     free = groups.where(~F.col("forced"))
-    order = Window.partitionBy("stratum").orderBy(F.md5(F.concat(F.lit(seed), F.col("group_key"))), "group_key")
-    free = free.withColumn("rn", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("stratum")))
+    free = hashed_rank(free, ["stratum"], F.md5(F.concat(F.lit(seed), F.col("group_key"))), "group_key", "rn", "n")
     n_test, n_calib = F.bround(F.col("n") * test), F.bround(F.col("n") * calib)
     split = F.when(F.col("rn") <= n_test, "test").when(F.col("rn") <= n_test + n_calib, "calib").otherwise("train")
     return free.select("group_key", "stratum", split.alias("split")).unionByName(groups.where("forced").select("group_key", "stratum", F.lit("test").alias("split")))
@@ -79,8 +97,7 @@ def group_split(samples: DataFrame, test: float, calib: float, seed: str = "7",
 
 def capped(rows: DataFrame, by: list[str], key: str, cap: int, seed: str = "7") -> DataFrame:
     """At most ``cap`` rows a group, by seeded hash order."""
-    order = Window.partitionBy(*by).orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
-    return rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= cap).drop("_rn")
+    return hashed_rank(rows, by, F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).where(F.col("_rn") <= cap).drop("_rn")
 
 
 def parity_half(key: Column) -> Column:
@@ -121,11 +138,10 @@ def class_balanced(rows: DataFrame, label: str, key: str, seed: str = "7") -> Da
     """Rows repeated until every class has as many as the largest: ``times`` copies each."""
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
     most = counts.agg(F.max("_n").alias("_most"))
-    joined = rows.join(F.broadcast(counts), label).crossJoin(F.broadcast(most))  # a row a class, one row
-    order = Window.partitionBy(label).orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
-    rank = F.row_number().over(order)
-    times = F.floor(F.col("_most") / F.col("_n")) + F.when(rank <= F.col("_most") % F.col("_n"), 1).otherwise(0)
-    return joined.withColumn("times", times.cast("int")).drop("_n", "_most")
+    ranked = hashed_rank(rows, [label], F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key, "_rank")
+    joined = ranked.join(counts, label).crossJoin(F.broadcast(most))  # one row
+    times = F.floor(F.col("_most") / F.col("_n")) + F.when(F.col("_rank") <= F.col("_most") % F.col("_n"), 1).otherwise(0)
+    return joined.withColumn("times", times.cast("int")).drop("_n", "_most", "_rank")
 
 
 def group_folds(rows: DataFrame, group: str, k: int, seed: str = "7") -> DataFrame:
@@ -191,8 +207,7 @@ def length_augment(sentences: DataFrame, docs: DataFrame, least: int = 50, share
 
 def concatenated(docs: DataFrame, by: list[str], size: int = 3, seed: str = "7") -> DataFrame:
     """Documents of a group joined in threes, in seeded order; a last incomplete one is left out."""
-    order = Window.partitionBy(*by).orderBy(F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string"))), "doc_id")
-    rows = docs.withColumn("_rn", F.row_number().over(order) - 1).withColumn("part", F.floor(F.col("_rn") / size))
+    rows = hashed_rank(docs, by, F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string"))), "doc_id").withColumn("_rn", F.col("_rn") - 1).withColumn("part", F.floor(F.col("_rn") / size))
     joined = rows.groupBy(*by, "part").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("_rn", "doc_id", "text"))).alias("x"))  # size rows each
     return joined.where(F.col("n") == size).select(*by, "part", F.transform("x", lambda v: v["doc_id"]).alias("doc_ids"), F.array_join(F.transform("x", lambda v: v["text"]), "\n\n").alias("text"))
 
@@ -249,22 +264,47 @@ def merge_split(text: Column) -> Column:
 def near_duplicates_of_train(samples: DataFrame, threshold: float = 0.5, width: int = 5) -> DataFrame:
     """(id): calib and test samples that share ``threshold`` of their windows (Jaccard) with a train sample.
 
-    Exact, by inverted lists: the windows of both sides meet by equi-join, and
-    windows whose train side is empty cost nothing.  Copies of a text count
-    once on either side, so that a text of many rows is one entry.
+    Exact, by inverted lists of fronts: windows have one order, rare ones
+    first, and sets that are similar enough share a window in the first
+    n - ceil(threshold * n) + 1 of either.  Windows on one side only have no
+    place in any front.  Copies of a text count once on either side; a front
+    window of many texts is joined in as many parts as it needs.
     """
-    texts = samples.select("id", "split", F.sha1("text").alias("h"), "text").where("split is not null and text is not null")
-    sides = texts.groupBy("h").agg(F.first("text").alias("text"), F.max((F.col("split") == "train").cast("int")).alias("t"), F.max((F.col("split") != "train").cast("int")).alias("e"))
-    sides = sides.select(F.concat_ws("|", "h", "t", "e").alias("k"), "text")
-    part = F.split("key", r"\|")
-    sets = window_sets(sides, "k", "text", width).select(part[0].alias("h"), part[1].cast("int").alias("t"), part[2].cast("int").alias("e"), "sh")
+    hashes = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("check"), "text").alias("b"))
+    texts = samples.where("split is not null and text is not null").select("id", "split", hashes.alias("h"), "text")
+    is_train = (F.col("split") == "train").cast("int")
+    sets = window_sets(spread(texts.select(F.struct("h", is_train.alias("t")).alias("k"), "text")), "k", "text", width).select("key.*", "sh")
+    sets = materialize(by_key(sets, "h").groupBy("h").agg(F.max("t").alias("t"), F.max(1 - F.col("t")).alias("e"), F.first("sh").alias("sh")), "sets")
     items = sets.select("h", "t", "e", F.size("sh").alias("n"), F.explode("sh").alias("g"))
-    train, held = items.where("t = 1").select("g", F.col("h").alias("th"), F.col("n").alias("tn")), items.where("e = 1").select("g", "h", "n")
-    both = held.join(train, "g").where(F.col("n").between(F.col("tn") * threshold, F.col("tn") / threshold)).groupBy("h", "th").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("tn").alias("tn"))
-    near = both.where(F.col("k") >= threshold * (F.col("n") + F.col("tn") - F.col("k"))).select("h").distinct()
+    # windows that both sides have, and how many texts have them
+    both = items.groupBy("g").agg(F.count("*").alias("df"), F.max("t").alias("any_t"), F.max("e").alias("any_e")).where("any_t = 1 and any_e = 1").select("g", "df")
+    kept = items.join(both, "g")
+    rank = F.row_number().over(Window.partitionBy("h").orderBy("df", "g"))  # the windows of one text
+    # a window of one side counts in n and is met by none; it stands behind the others, so that fronts are as long as the others allow
+    need = F.ceil(F.col("n") * threshold)
+    front = by_key(kept, "h").withColumn("r", rank).withColumn("m", F.count("*").over(Window.partitionBy("h"))).where(F.col("r") <= F.col("m") - need + 1)
+    front = materialize(front.select("h", "t", "e", "n", "g"), "fronts")
+    hot = 2000
+    many = front.groupBy("g").agg(F.count_if(F.col("t") == 1).alias("k")).where(F.col("k") > hot).select("g", F.ceil(F.col("k") / hot).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    train = front.where("t = 1").join(many, "g", "left").select("g", F.pmod(F.xxhash64("h"), parts).cast("int").alias("p"), F.col("h").alias("th"), F.col("n").alias("tn"))
+    held = front.where("e = 1").join(many, "g", "left").select("g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"), "h", "n")
+    met = held.join(train, ["g", "p"]).where(F.col("n").between(F.col("tn") * threshold, F.col("tn") / threshold)).select("h", "th").distinct()
+    a, b = sets.select("h", "sh"), sets.select(F.col("h").alias("th"), F.col("sh").alias("tsh"))
+    k = F.size(F.array_intersect("sh", "tsh"))
+    near = met.join(a, "h").join(b, "th").where(k >= threshold * (F.size("sh") + F.size("tsh") - k)).select("h").distinct()
     return texts.where("split <> 'train'").join(near, "h", "left_semi").select("id").distinct()
 
 
+def dedup_report(samples: DataFrame, ranks: dict[str, int], threshold: float = 0.5) -> DataFrame:
+    """(split, n, exact_removed, near_removed): samples of each split, those that repeat an earlier text, and of the others those near a train text."""
+    there = materialize(samples.where("split is not null and text is not null"), "dedup")
+    first = materialize(exact_dedup(there, ranks), "first")
+    near = near_duplicates_of_train(first, threshold).withColumn("near", F.lit(1))
+    kept = first.select("id").withColumn("kept", F.lit(1)).join(near, "id", "left")
+    return there.select("id", "split").join(kept, "id", "left").groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("kept").isNull()).alias("exact_removed"), F.count_if(F.col("near").isNotNull()).alias("near_removed"))
+
+
 def minhash_candidates(docs: DataFrame, perms: int = 64, rows: int = 4, width: int = 5) -> DataFrame:
     """(a, b, same): documents whose MinHash signatures agree in a band, and those whose window sets are equal.
 
@@ -294,8 +334,7 @@ def hybrids(docs: DataFrame, sentences: DataFrame, seed: str = "7") -> DataFrame
     """
     s = sentences.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "s"))).alias("x")).select("doc_id", F.transform("x", lambda v: v["s"]).alias("ss"))
     rich = docs.select("doc_id", "label", "domain").where("domain is not null").join(s, "doc_id").where(F.size("ss") >= 4)
-    order = Window.partitionBy("domain", "label").orderBy(F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string"))), "doc_id")
-    ranked = rich.withColumn("rn", F.row_number().over(order))
+    ranked = hashed_rank(rich, ["domain", "label"], F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string"))), "doc_id", "rn")
     h = ranked.where("label = 0").select("domain", "rn", F.col("doc_id").alias("human_id"), F.col("ss").alias("h"))
     a = ranked.where("label = 1").select("domain", "rn", F.col("doc_id").alias("ai_id"), F.col("ss").alias("a"))
     pair = h.join(a, ["domain", "rn"]).withColumn("u", seeded("human_id", "ai_id", seed=seed))

@@ -106,7 +106,8 @@ def punctuation(docs: DataFrame) -> DataFrame:
     )
     # pairs of neighbouring marks over the document
     marks = S.sentence_arrays(docs).select("doc_id", F.expr("flatten(transform(ss, x -> regexp_extract_all(x.s, '([,;:—–()\"“”«»…?!.])', 1)))").alias("m"))
-    pairs = marks.where(F.size("m") >= 4).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda i: F.concat(F.element_at("m", i), F.element_at("m", i + 1)))).alias("p"))
+    made = F.when(F.size("m") >= 4, F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda i: F.concat(F.element_at("m", i), F.element_at("m", i + 1))))
+    pairs = marks.select("doc_id", F.explode_outer(made).alias("p")).where("p is not null")
     bigram = pairs.groupBy("doc_id", "p").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.collect_list(F.col("c").cast("double")).alias("cs"))  # at most 15 * 15 kinds
     bigram = bigram.select("doc_id", r6(entropy(F.array_sort("cs"), 100)).alias("pun_transition_entropy"))
     out = base.withColumn("pun_type_entropy", r6(entropy(F.col("types"), 10))).withColumn("pun_end_entropy", F.when(F.col("ns") >= 2, r6(entropy(F.col("ends"), 5)))).drop("types", "ends", "ns")
@@ -129,10 +130,11 @@ def vocabulary(docs: DataFrame, window: int = 50) -> DataFrame:
     types = base.select("doc_id", F.inline(F.arrays_zip("types", "counts", "content"))).select("doc_id", F.col("types").alias("word"), F.col("counts").alias("c"), "content")
     n = types.groupBy("word").agg(F.sum("c").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
-    freq = n.crossJoin(F.broadcast(total)).select("word", (F.log10(F.col("n") / F.col("total")) + 9).alias("z"))  # one row
+    freq = n.crossJoin(F.broadcast(total)).select("word", "n", (F.log10(F.col("n") / F.col("total")) + 9).alias("z"))  # one row
     m = F.sum("c")
     zm = F.sum(F.col("z") * F.col("c")) / m
-    dense = types.where("content").join(freq, "word").groupBy("doc_id").agg(r6(zm).alias("voc_zipf_mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("z") * F.col("z") * F.col("c")) / m - zm * zm)), 5).alias("voc_zipf_std"), r6(F.sum(F.when(F.col("z") < 5, F.col("c")).otherwise(0)) / m).alias("voc_rare_frac"))
+    # there is no list of known words: unknown are those that no other document has
+    dense = types.where("content").join(freq, "word").groupBy("doc_id").agg(r6(F.sum(F.when(F.col("n") == F.col("c"), F.col("c")).otherwise(0)) / m).alias("voc_oov_frac"), r6(zm).alias("voc_zipf_mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("z") * F.col("z") * F.col("c")) / m - zm * zm)), 5).alias("voc_zipf_std"), r6(F.sum(F.when(F.col("z") < 5, F.col("c")).otherwise(0)) / m).alias("voc_rare_frac"))
     rows = base.select(
         "doc_id", "n_words", r6(F.col("mattr")).alias("voc_mattr"), F.round("heaps", 5).alias("voc_heaps_slope"), r6(F.col("yule")).alias("voc_yule_k"), r6(F.col("hapax")).alias("voc_hapax_ratio"), r6(F.col("dis")).alias("voc_dis_ratio"),
         r6(F.when(F.col("n_content") >= 20, F.col("near_repeats") / F.col("n_content"))).alias("voc_local_repeat_frac"), r6(F.col("n_content") / F.col("n_words")).alias("voc_lexical_density"),
@@ -148,8 +150,9 @@ def vocabulary_core(docs: DataFrame, window: int = 50) -> DataFrame:
 
 def _grams(docs: DataFrame, n: int, chunk: int, least: int) -> DataFrame:
     """(doc_id, ch, m, g, c): counts of word n-grams within chunks of so many words."""
-    w = S.word_arrays(docs).select("doc_id", F.transform("w", lambda x: x["word"]).alias("w")).where(F.size("w") >= n).withColumn("n", F.size("w"))
-    grams = w.select("doc_id", "n", F.posexplode(F.expr(f"transform(sequence(1, size(w) - {n - 1}), i -> concat_ws(' ', slice(w, i, {n})))")).alias("pos", "g"))
+    w = S.word_arrays(docs).select("doc_id", F.transform("w", lambda x: x["word"]).alias("w"))
+    made = F.expr(f"case when size(w) >= {n} then transform(sequence(1, size(w) - {n - 1}), i -> named_struct('n', size(w), 'g', concat_ws(' ', slice(w, i, {n})))) end")
+    grams = w.select("doc_id", F.posexplode_outer(made).alias("pos", "x")).where("pos is not null").select("doc_id", "pos", "x.n", "x.g")
     # a gram belongs to a chunk if it lies in it whole
     ch = chunk_of(F.col("pos"), F.col("n"), chunk)
     grams = grams.where(ch == chunk_of(F.col("pos") + n - 1, F.col("n"), chunk)).withColumn("ch", ch)
@@ -168,12 +171,22 @@ def repetition(docs: DataFrame) -> DataFrame:
 
 
 def block_share(docs: DataFrame, block: int = 8, step: int = 4) -> DataFrame:
-    """(doc_id, rep_opening_word): mean share of repeated first words in blocks of eight sentences, four apart."""
-    s = S.sentence_table(docs).where(F.size("w") > 0).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.element_at("w", 1).alias("v")))).alias("x")).select("doc_id", F.transform("x", lambda v: v["v"]).alias("f"))
-    s = s.where(F.size("f") >= 3)
-    starts = F.when(F.size("f") <= block, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.size("f") - block + 1, F.lit(step)))
-    share = F.transform(starts, lambda i: 1 - F.size(F.array_distinct(F.slice("f", i, block))) / F.size(F.slice("f", i, block)))
-    return s.select("doc_id", r6(F.aggregate(share, F.lit(0.0), lambda a, x: a + x) / F.size(share)).alias("rep_opening_word"))
+    """(doc_id, rep_opening_word, rep_sentence_template) in blocks of eight sentences, four apart; three sentences at least.
+
+    Mean shares of sentences whose first word, and whose first three words'
+    classes (the template; there is no tagger), another one of the block has.
+    """
+    made = S.sentence_arrays(docs).select("doc_id", F.filter(F.transform("ss", lambda x: T.words(x["s"])), lambda w: F.size(w) > 0).alias("ws"))
+    classes = F.transform("ws", lambda w: F.array_join(F.transform(F.slice(w, 1, 3), opening_class), " "))
+    s = made.select("doc_id", F.transform("ws", lambda w: w[0]).alias("f"), classes.alias("c")).where(F.size("f") >= 3)
+
+    def repeated(values: str) -> Column:
+        starts = F.when(F.size(values) <= block, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.size(values) - block + 1, F.lit(step)))
+        parts = F.transform(starts, lambda i: F.slice(values, i, block))
+        share = F.transform(parts, lambda b: F.size(F.filter(b, lambda v: F.size(F.filter(b, lambda u: u == v)) > 1)) / F.size(b))
+        return r6(F.aggregate(share, F.lit(0.0), lambda a, x: a + x) / F.size(share))
+
+    return s.select("doc_id", repeated("f").alias("rep_opening_word"), repeated("c").alias("rep_sentence_template"))
 
 
 def transitions(docs: DataFrame) -> DataFrame:
@@ -221,11 +234,14 @@ def openings(docs: DataFrame) -> DataFrame:
 
 
 def paragraph_stats(docs: DataFrame) -> DataFrame:
-    """Variation of paragraph lengths, and the share of paragraphs that open with a transition; two paragraphs at least."""
+    """Variation of paragraph lengths and of their mean surprisal (of five words at least), and the share of paragraphs that open with a transition; two paragraphs at least."""
     s = S.sentence_table(docs).withColumn("t", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
     first = reduce(lambda a, b: a | b, [F.col("t").startswith(f" {p} ") for _, p in L.PHRASES])
     p = s.groupBy("doc_id", "para").agg(F.sum(F.size("w")).alias("n"), F.min_by(first, "idx").alias("tr"))
-    return p.groupBy("doc_id").agg(r6(cv(F.col("n"))).alias("par_len_cv"), r6(F.when(F.count("*") >= 2, F.avg(F.col("tr").cast("double")))).alias("par_transition_initial"))
+    out = p.groupBy("doc_id").agg(r6(cv(F.col("n"))).alias("par_len_cv"), r6(F.when(F.count("*") >= 2, F.avg(F.col("tr").cast("double")))).alias("par_transition_initial"))
+    where = s.select("doc_id", "idx", "para")
+    x = surprisals(docs).join(where, ["doc_id", "idx"]).groupBy("doc_id", "para").agg((F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("m"), F.sum("c").alias("n")).where("n >= 5")
+    return out.join(x.groupBy("doc_id").agg(F.round(std(F.col("m")), 5).alias("par_ppl_std")), "doc_id", "left")
 
 
 #: Families by the prefix of a feature's name.

@@ -20,18 +20,42 @@ def documents(docs: DataFrame) -> DataFrame:
     than the session has cores (a table of one small file) is spread first.
     A large table has parts enough and is read in place.
     """
-    rows = docs.where("doc_id is not null and text is not null")
-    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return spread(docs.where("doc_id is not null and text is not null"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows in as many parts as the session has cores, where there are fewer."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
+def by_key(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows partitioned by key in as many parts as the session shuffles into, at least one a core.
+
+    For little data that costs much to work on: parts that the planner would
+    join for their size stay apart.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def _exploded(rows: DataFrame, column: str, number: str, name: str) -> DataFrame:
+    """One row an element, with its number.
+
+    An inner explode makes the optimizer compute the array twice more below
+    it, to leave empty ones out before; the outer one doesn't, and what it
+    gives for empty arrays is left out after.
+    """
+    return rows.select("doc_id", F.posexplode_outer(column).alias(number, name)).where(F.col(number).isNotNull())
+
+
 def _kept(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null")
 
 
 def paragraph_table(docs: DataFrame) -> DataFrame:
     """(doc_id, para, p): paragraphs numbered from 0."""
-    return _kept(docs).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("para", "p"))
+    return _exploded(_kept(docs).select("doc_id", T.paragraphs(F.col("text")).alias("ps")), "ps", "para", "p")
 
 
 def sentence_arrays(docs: DataFrame) -> DataFrame:
@@ -48,7 +72,7 @@ def sentence_arrays(docs: DataFrame) -> DataFrame:
 
 def sentence_table(docs: DataFrame) -> DataFrame:
     """(doc_id, para, idx, s, w): sentences numbered from 0 over the document, with their folded words."""
-    return sentence_arrays(docs).select("doc_id", F.posexplode("ss").alias("idx", "x")).select("doc_id", F.col("x.para").alias("para"), "idx", F.col("x.s").alias("s")).withColumn("w", T.words(F.col("s")))
+    return _exploded(sentence_arrays(docs), "ss", "idx", "x").select("doc_id", F.col("x.para").alias("para"), "idx", F.col("x.s").alias("s")).withColumn("w", T.words(F.col("s")))
 
 
 def word_arrays(docs: DataFrame) -> DataFrame:
@@ -59,4 +83,4 @@ def word_arrays(docs: DataFrame) -> DataFrame:
 
 def word_table(docs: DataFrame) -> DataFrame:
     """(doc_id, para, idx, word, pos): words numbered from 0 over the document."""
-    return word_arrays(docs).select("doc_id", F.posexplode("w").alias("pos", "x")).select("doc_id", "x.para", "x.idx", "x.word", "pos")
+    return _exploded(word_arrays(docs), "w", "pos", "x").select("doc_id", "x.para", "x.idx", "x.word", "pos")

@@ -24,8 +24,9 @@ def _hash(gram: Column) -> Column:
 
 def grams(docs: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
     """(key, pos, g): word n-grams from 0; shorter texts have none."""
-    t = tokens(docs, key, text).where(F.size("w") >= n)
-    return t.select("key", F.posexplode(F.expr(f"transform(sequence(1, size(w) - {n - 1}), i -> concat_ws(' ', slice(w, i, {n})))")).alias("pos", "g"))
+    # outer, and no filter on the words before: either would compute them again below
+    made = F.expr(f"case when size(w) >= {n} then transform(sequence(1, size(w) - {n - 1}), i -> concat_ws(' ', slice(w, i, {n}))) end")
+    return tokens(docs, key, text).select("key", F.posexplode_outer(made).alias("pos", "g")).where("pos is not null")
 
 
 def winnow(docs: DataFrame, key: str, text: str = "text", hashed=_hash) -> DataFrame:

@@ -135,6 +135,16 @@ def q_shingles(spark, sf_dir):
     return sh.select("id", F.size("sh").alias("n_shingles"), F.array_min("sh").alias("least"), F.aggregate("sh", F.lit(0).cast("long"), lambda a, x: a + x % 1000003).alias("check_sum"))
 
 
+_NEAR = rf"""x as (select id, split, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as w from kp), y as (select id, split, {_SHINGLES} as sh from x), z as (select id, split, len(sh) as n, unnest(sh) as g from y),
+p as (select a.id, b.id as t, any_value(a.n) as n, any_value(b.n) as m, count(*) as k from z a join z b using (g) where a.split <> 'train' and b.split = 'train' group by a.id, b.id), nr as (select distinct id from p where k >= 0.5 * (n + m - k))"""
+
+
+@query("q_dedup_report", rf"""with {_S}, al as (select id, split, text, row_number() over (partition by text order by {_RANK}, id) as n from sm where text is not null and split is not null), kp as (select id, split, text from al where n = 1), {_NEAR}
+select al.split, count(*) as n, count(*) filter (where al.n > 1) as exact_removed, count(nr.id) as near_removed from al left join nr on nr.id = al.id group by 1""")
+def q_dedup_report(spark, sf_dir):
+    return C.dedup_report(_samples(spark, sf_dir), {"train": 0, "calib": 1, "test": 2})
+
+
 @query("q_neardup_antijoin", rf"""with {_S}, x as (select id, split, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as w from sm where text is not null and split is not null), y as (select id, split, {_SHINGLES} as sh from x),
 z as (select id, split, len(sh) as n, unnest(sh) as g from y), p as (select a.id, b.id as t, any_value(a.n) as n, any_value(b.n) as m, count(*) as k from z a join z b using (g) where a.split <> 'train' and b.split = 'train' group by a.id, b.id)
 select id, split from x where id not in (select id from p where k >= 0.5 * (n + m - k))""")

@@ -100,9 +100,9 @@ ma as (select doc_id, n as n_words, round(case when n <= 50 then len(list_distin
 he as (select doc_id, round(regr_slope(ln(t), ln(i)), 5) as voc_heaps_slope from (select doc_id, n, i, len(list_distinct(w[1:i])) as t from (select doc_id, w, n, unnest(range(10, n + 1, 10)) as i from dw where n >= 120)) group by doc_id),
 ty as (select doc_id, word, count(*) as c from w group by 1, 2), yu as (select doc_id, round(case when sum(c) >= 20 then 1e4 * (sum(c * c) - sum(c)) / (sum(c) * sum(c)) end, 6) as voc_yule_k from ty group by doc_id),
 wn as (select w.*, count(*) over (partition by doc_id) as n from w), ch as (select doc_id, {_chunk('pos', 'n', 100)} as ch, word, count(*) as c from wn group by 1, 2, 3), cc as (select doc_id, ch, count(*) filter (where c = 1) / count(*) as h, count(*) filter (where c = 2) / count(*) as d from ch group by 1, 2 having sum(c) >= 50), ha as (select doc_id, round(avg(h), 6) as voc_hapax_ratio, round(avg(d), 6) as voc_dis_ratio from cc group by doc_id),
-co as (select w.doc_id, word, log10(f) + 9 as z, row_number() over (partition by doc_id order by pos) as cp from w join fr using (word) where not list_contains({_in(L.FUNCTION)}, word)), lo as (select *, cp - lag(cp) over (partition by doc_id, word order by cp) as gap from co),
-ld as (select doc_id, count(*) as m, round(case when count(*) >= 20 then count(*) filter (where gap <= 50) / count(*) end, 6) as voc_local_repeat_frac, round(avg(z), 6) as voc_zipf_mean, round(stddev_pop(z), 5) as voc_zipf_std, round(avg(case when z < 5 then 1.0 else 0.0 end), 6) as voc_rare_frac from lo group by doc_id)
-select ma.*, voc_heaps_slope, voc_yule_k, voc_hapax_ratio, voc_dis_ratio, voc_local_repeat_frac, voc_zipf_mean, voc_zipf_std, voc_rare_frac, round(coalesce(m, 0) / n_words, 6) as voc_lexical_density from ma left join he using (doc_id) join yu using (doc_id) left join ha using (doc_id) left join ld using (doc_id)""",
+ct as (select doc_id, word, count(*) as here from w group by 1, 2), co as (select w.doc_id, word, fr.n = ct.here as only_here, log10(f) + 9 as z, row_number() over (partition by doc_id order by pos) as cp from w join fr using (word) join ct using (doc_id, word) where not list_contains({_in(L.FUNCTION)}, word)), lo as (select *, cp - lag(cp) over (partition by doc_id, word order by cp) as gap from co),
+ld as (select doc_id, count(*) as m, round(case when count(*) >= 20 then count(*) filter (where gap <= 50) / count(*) end, 6) as voc_local_repeat_frac, round(avg(z), 6) as voc_zipf_mean, round(stddev_pop(z), 5) as voc_zipf_std, round(avg(case when z < 5 then 1.0 else 0.0 end), 6) as voc_rare_frac, round(avg(case when only_here then 1.0 else 0.0 end), 6) as voc_oov_frac from lo group by doc_id)
+select ma.*, voc_heaps_slope, voc_yule_k, voc_hapax_ratio, voc_dis_ratio, voc_local_repeat_frac, voc_zipf_mean, voc_zipf_std, voc_rare_frac, voc_oov_frac, round(coalesce(m, 0) / n_words, 6) as voc_lexical_density from ma left join he using (doc_id) join yu using (doc_id) left join ha using (doc_id) left join ld using (doc_id)""",
 )
 def q_vocabulary(spark, sf_dir):
     return X.vocabulary(_docs(spark, sf_dir))
@@ -113,13 +113,20 @@ def _gram_sql(n: int, size: int, least: int, name: str) -> str:
 {name}2 as (select doc_id, ch, g, count(*) as c from {name}1 where ch = ch2 group by 1, 2, 3), {name}3 as (select *, sum(c) over (partition by doc_id, ch) as m from {name}2), {name} as (select * from {name}3 where m >= {least})"""
 
 
+_CLASS = "case " + " ".join(f"when list_contains({_in(v)}, v) then {P.q(k)}" for k, v in X.OPENINGS.items()) + " else 'content' end"
+
+
+def _repeated(c: str) -> str:
+    return f"round(list_avg(list_transform(st, lambda i: len(list_filter({c}[i:i + 7], lambda v: len(list_filter({c}[i:i + 7], lambda u: u = v)) > 1)) / len({c}[i:i + 7]))), 6)"
+
+
 @query(
     "q_repetition",
     f"""with {P.WORDS}, dw as (select doc_id, list(word order by pos) as w, count(*) as n from w group by doc_id), {_gram_sql(2, 150, 3, 'a')}, {_gram_sql(3, 150, 3, 'b')}, {_gram_sql(4, 150, 3, 'e')}, {_gram_sql(5, 300, 56, 'f')},
 a9 as (select doc_id, round(coalesce(sum(c) filter (where c > 1), 0) / sum(c), 6) as rep_bigram from a group by 1), b9 as (select doc_id, round(coalesce(sum(c) filter (where c > 1), 0) / sum(c), 6) as rep_trigram from b group by 1), e9 as (select doc_id, round(coalesce(sum(c) filter (where c > 1), 0) / sum(c), 6) as rep_4gram from e group by 1),
 f9 as (select doc_id, round(avg(100 * r / l), 6) as rep_phrase5_per100 from (select doc_id, ch, count(*) filter (where c > 1) as r, max(m) + 4 as l from f group by 1, 2) group by 1),
-fw as (select doc_id, list(w[1] order by idx) as l from s where len(w) > 0 group by doc_id having count(*) >= 3), bs as (select doc_id, l, case when len(l) <= 8 then [1] else range(1, len(l) - 6, 4) end as st from fw), bx as (select doc_id, round(list_avg(list_transform(st, lambda i: 1 - len(list_distinct(l[i:i + 7])) / len(l[i:i + 7]))), 6) as rep_opening_word from bs)
-select d.doc_id, rep_bigram, rep_trigram, rep_4gram, rep_phrase5_per100, rep_opening_word from d left join a9 using (doc_id) left join b9 using (doc_id) left join e9 using (doc_id) left join f9 using (doc_id) left join bx using (doc_id)""",
+fw as (select doc_id, list(w[1] order by idx) as l, list(array_to_string(list_transform(w[1:3], lambda v: {_CLASS}), ' ') order by idx) as c from s where len(w) > 0 group by doc_id having count(*) >= 3), bs as (select doc_id, l, c, case when len(l) <= 8 then [1] else range(1, len(l) - 6, 4) end as st from fw), bx as (select doc_id, {_repeated('l')} as rep_opening_word, {_repeated('c')} as rep_sentence_template from bs)
+select d.doc_id, rep_bigram, rep_trigram, rep_4gram, rep_phrase5_per100, rep_opening_word, rep_sentence_template from d left join a9 using (doc_id) left join b9 using (doc_id) left join e9 using (doc_id) left join f9 using (doc_id) left join bx using (doc_id)""",
 )
 def q_repetition(spark, sf_dir):
     return X.repetition(_docs(spark, sf_dir))
@@ -157,7 +164,7 @@ def q_opening_entropy(spark, sf_dir):
     return X.openings(_docs(spark, sf_dir))
 
 
-@query("q_paragraph_stats", f"with {P.SENTS}, t as (select doc_id, para, idx, len(w) as n, ' ' || array_to_string(w, ' ') || ' ' as t from s), p as (select doc_id, para, sum(n) as n, arg_min({' or '.join(f'''starts_with(t, ' {p} ')''' for _, p in L.PHRASES)}, idx) as tr from t group by 1, 2) select doc_id, {_cv('n')} as par_len_cv, round(case when count(*) >= 2 then avg(case when tr then 1.0 else 0.0 end) end, 6) as par_transition_initial from p group by doc_id")
+@query("q_paragraph_stats", f"with {_SUR}, t as (select doc_id, para, idx, len(w) as n, ' ' || array_to_string(w, ' ') || ' ' as t from s), p as (select doc_id, para, sum(n) as n, arg_min({' or '.join(f'''starts_with(t, ' {p} ')''' for _, p in L.PHRASES)}, idx) as tr from t group by 1, 2), a as (select doc_id, {_cv('n')} as par_len_cv, round(case when count(*) >= 2 then avg(case when tr then 1.0 else 0.0 end) end, 6) as par_transition_initial from p group by doc_id), b as (select doc_id, round(case when count(*) >= 2 then stddev_pop(m) end, 5) as par_ppl_std from (select tk.doc_id, para, avg(x) as m from tk join s on s.doc_id = tk.doc_id and s.idx = tk.idx group by 1, 2 having count(*) >= 5) group by 1) select a.*, par_ppl_std from a left join b using (doc_id)")
 def q_paragraph_stats(spark, sf_dir):
     return X.paragraph_stats(_docs(spark, sf_dir))
 
