@@ -133,7 +133,7 @@ def matching_words(runs: DataFrame) -> DataFrame:
     return r.groupBy("key", "ref").agg(F.max("length").alias("longest"), F.sum(new).alias("words"))
 
 
-def similarity_report(texts: DataFrame, key: str, library: DataFrame, ref: str, top: int = 10) -> DataFrame:
+def similarity_report(texts: DataFrame, key: str, library: DataFrame, ref: str, top: int = 10, hashed=_hash) -> DataFrame:
     """(key, ref, shared, containment5, longest, words, score): each text's best ``top`` references by score.
 
     The score is max(containment, matched words over length); ``words`` is the
@@ -141,7 +141,7 @@ def similarity_report(texts: DataFrame, key: str, library: DataFrame, ref: str,
     scored, and the top is cut after that.  Ties go to more shared
     fingerprints, then to the smaller reference.
     """
-    pairs = sharing(winnow(texts, key), winnow(library, ref))
+    pairs = sharing(winnow(texts, key, hashed=hashed), winnow(library, ref, hashed=hashed))
     left, right = grams(texts, key, GRAM), grams(library, ref, GRAM)
     cont = containment(pairs, left, right, GRAM, many=True)
     runs = matching_words(exact_runs(None, left, right))

@@ -149,7 +149,10 @@ def q_band_match(spark, sf_dir):
     return t.join(near, ["id", "b"], "left").groupBy("id").agg(F.count("*").alias("n_true"), F.count("near").alias("n_near"))
 
 
-@query("q_greedy_match")
+@query("q_greedy_match", f"""with recursive {_SEG}, t as (select id, list(distinct (sg[1] // 60)::int order by (sg[1] // 60)::int) as t from sg where pos > 1 group by 1), f as (select id, list(distinct (sg[2] // 60)::int order by (sg[2] // 60)::int) as f from sg group by 1),
+b as (select coalesce(t.id, f.id) as id, coalesce(t, []::int[]) as t, coalesce(f, []::int[]) as f from t full join f on t.id = f.id),
+st as (select id, 0 as i, t as free, 0 as k from b union all select id, i + 1, case when h is null then free else list_filter(free, lambda v: v <> h) end, k + case when h is null then 0 else 1 end from (select st.*, list_filter(free, lambda v: abs(v - f[i + 1]) <= 2)[1] as h from st join b using (id) where i < len(f)))
+select b.id, len(t)::int as n_true, len(f)::int as n_found, k as n_matched from b join st on st.id = b.id and st.i = len(f)""")
 def q_greedy_match(spark, sf_dir):
     s = table(spark, sf_dir, "samples").where("id is not null and segments is not null").select("id", "segments").distinct()
     g = s.select("id", F.posexplode("segments").alias("pos", "g"))
@@ -238,7 +241,11 @@ def q_tfidf_cosine(spark, sf_dir):
     return M.tfidf_cosine(pairs, M.tokens(s, "id"), M.tokens(r, "ref_id"))
 
 
-@query("q_similarity_report")
+@query("q_similarity_report", f"""with {_RUNS}, tt as (select key, count(*) as n from gs group by 1), mi as (select key, g, count(*) as c from gs group by 1, 2), th as (select distinct key, g from gr), hh as (select cd.key, ref, sum(c) as k from cd join mi on mi.key = cd.key join th on th.key = ref and th.g = mi.g group by 1, 2),
+lg as (select key, ref, max(length) as longest from rn group by 1, 2), wd as (select key, ref, count(distinct p) as words from (select key, ref, unnest(range(start, start + length)) as p from rn) group by 1, 2),
+sx as (select cd.key, cd.ref, shared, round(coalesce(k, 0) / n, 6) as containment5, coalesce(longest, 0)::bigint as longest, coalesce(words, 0)::bigint as words, len(w) as size from cd join ls on ls.key = cd.key left join tt on tt.key = cd.key left join hh on hh.key = cd.key and hh.ref = cd.ref left join lg on lg.key = cd.key and lg.ref = cd.ref left join wd on wd.key = cd.key and wd.ref = cd.ref),
+sy as (select *, round(greatest(coalesce(containment5, 0), words / greatest(size, 1)), 6) as score from sx) select key, ref, shared, containment5, longest, words, score from (select *, row_number() over (partition by key order by score desc, shared desc, ref) as rank from sy) where rank <= 10""")
 def q_similarity_report(spark, sf_dir):
+    """A report of the best ten of all references that share a fingerprint."""
     s, r = _lib(spark, sf_dir)
-    return M.similarity_report(s, "id", r, "ref_id")
+    return M.similarity_report(s, "id", r, "ref_id", hashed=_md5)
