@@ -9,14 +9,13 @@ found, so that every exact run of twelve tokens has a hit under each mask.
 
 The evaluation side is a stated query set: its token hashes go to the
 executors in blocks of a bounded size, each block against all documents.
-Documents are read once a block and never shuffled.
+Documents are read once and never shuffled; a task holds one block at a time.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -76,9 +75,31 @@ def _best_overlap(eq: np.ndarray, mismatch: int) -> tuple[int, int]:
     return matched, end - start - matched
 
 
-def _stage(shared, key: str, spec: LeakSpec):
+def _gathered(batches, rows: int):
+    """Batches of about ``rows`` rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _stage(blocks, key: str, spec: LeakSpec):
+    """blocks: broadcast items. With several, each is read for many documents at a time and given up again."""
+
     def run(batches):
-        items: _Items = shared.value
+        for some in _gathered(batches, 1 if len(blocks) == 1 else 50_000):
+            for shared in blocks:
+                items: _Items = shared.value
+                yield from found(some, items)
+                if len(blocks) > 1:
+                    vars(shared).pop("_value", None)  # read again from the executor's copy when its turn comes
+
+    def found(batches, items: _Items):
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
@@ -143,12 +164,11 @@ def leaks(documents: DataFrame, eval_items: DataFrame, spec: LeakSpec = LeakSpec
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(chars / spec.block_chars))
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    out = []
+    shared = []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()  # a block's share of block_chars
-        shared = docs.sparkSession.sparkContext.broadcast(_Items([r.item_id for r in rows], [r.text for r in rows], spec))
-        out.append(docs.mapInArrow(_stage(shared, "doc_id", spec), "doc_id long, item_id long, longest_run int, matched int, substituted int, item_tokens int"))
-    return reduce(DataFrame.unionByName, out).dropDuplicates(["doc_id", "item_id"])
+        shared.append(docs.sparkSession.sparkContext.broadcast(_Items([r.item_id for r in rows], [r.text for r in rows], spec)))
+    return docs.mapInArrow(_stage(shared, "doc_id", spec), "doc_id long, item_id long, longest_run int, matched int, substituted int, item_tokens int").dropDuplicates(["doc_id", "item_id"])
 
 
 def leaked_pairs(documents: DataFrame, eval_items: DataFrame, spec: LeakSpec = LeakSpec()) -> DataFrame:
