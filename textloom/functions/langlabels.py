@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "el", "fr", "de", "es", "it")
 
+#: Languages that detection by stop words tells apart.
+DETECTED = (*LANGUAGES, "pt", "nl")
+
 #: ISO 639 codes of two and three letters, English and own names.
 SPELLINGS = {
     "en": ("en", "eng", "english"),

@@ -24,6 +24,20 @@ TRANSITIONS = {
     "summarising": ["in conclusion", "overall", "in essence", "ultimately", "in summary", "taken together"],
     "hedging": ["broadly speaking", "more importantly", "in practice", "notably", "anyway", "honestly", "to be fair"],
 }
+#: The same in Greek, folded.
+GREEK_TRANSITIONS = {
+    "additive": ["επιπλεον", "επισης", "επιπροσθετα", "εξαλλου", "παραλληλα", "ακομη"],
+    "adversative": ["ωστοσο", "ομως", "αντιθετα", "εντουτοις", "παρολα αυτα", "απο την αλλη", "αλλα"],
+    "causal": ["επομενωσ", "συνεπωσ", "αρα", "κατα συνεπεια", "ετσι", "γι αυτο"],
+    "sequential": ["πρωτον", "δευτερον", "αρχικα", "επειτα", "στη συνεχεια", "κατοπιν", "τελικα"],
+    "exemplifying": ["για παραδειγμα", "συγκεκριμενα", "ειδικοτερα"],
+    "summarising": ["συμπερασματικα", "εν κατακλειδι", "συνολικα", "εν ολιγοισ", "συνοψιζοντασ"],
+    "hedging": ["πραγματι", "μαλιστα", "προφανωσ", "σαφωσ", "ισωσ"],
+}
+for _k, _v in GREEK_TRANSITIONS.items():
+    TRANSITIONS[_k] = TRANSITIONS[_k] + _v
+#: Words that are transitions only where they begin a sentence.
+INITIAL_ONLY = ["also", "still", "first", "second", "then", "next", "later", "thus", "because", "although", "ακομη", "ομως", "αλλα", "ετσι", "τελικα", "ισωσ"]
 PHRASES = [(c, p) for c, ps in TRANSITIONS.items() for p in ps]
 
 #: Contractions that casual rewriting puts for the long form: (pattern, short form).

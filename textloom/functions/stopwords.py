@@ -13,6 +13,9 @@ STOPWORDS = {
     "es": "el la los las de que y en un una es por con para no se su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos",
     "it": "il lo la gli le di che e un una è per non con del della dei delle nel nella si da al alla sono come più ma anche ha o questo questa dal dalla se ci era stato tra quando",
 }
+#: Two more that detection by stop words tells apart.
+STOPWORDS["pt"] = "o a os as de do da dos das e que em um uma é para com não por se na no nas nos mais como mas ao seu sua ou foi ele ela são também pelo pela até isso quando muito já está"
+STOPWORDS["nl"] = "de het een en van in is dat die te niet op zijn met voor er aan als ook maar om door over nog bij naar dan uit was ze hij wordt heeft had geen meer wat zo kan"
 _SETS = {k: frozenset(v.split()) for k, v in STOPWORDS.items()}
 _WORD = re.compile(r"[^\W\d_]+")
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")

@@ -81,7 +81,7 @@ def strip_labels(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """Newlines, invisible characters, quotes, spaces, dashes, list marks and blank runs in one form.
+    """Newlines, invisible characters, quotes, spaces, dashes, stray separators, list marks and blank runs in one form.
 
     HTML entities and composed characters are ``normalize_unicode``'s part.
     """
@@ -90,6 +90,11 @@ def normalize(text: Column) -> Column:
     t = F.translate(t, MARKS, PLAIN_MARKS)
     t = F.regexp_replace(t, r"(\d)[‐-–](\d)", "$1-$2")
     t = F.regexp_replace(t, r"[ \t]*(?:—|–|--)[ \t]*", " — ")
+    # separators left where list headings were taken out
+    t = F.regexp_replace(t, r"(?m)^[ ,;]+", "")
+    t = F.regexp_replace(t, r"([.!?])[;,]+(\s|$)", "$1$2")
+    t = F.regexp_replace(t, r",(?:\s*,)+", ",")
+    t = F.regexp_replace(t, r" +([,;:])", "$1")
     t = F.regexp_replace(t, r"(?m)^[ \t]*[•●▪*][ \t]+", "- ")
     t = F.regexp_replace(t, r"[ \t]{2,}", " ")
     t = F.regexp_replace(t, r"[ \t]+\n", "\n")

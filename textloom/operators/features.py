@@ -190,10 +190,11 @@ def block_share(docs: DataFrame, block: int = 8, step: int = 4) -> DataFrame:
 
 
 def transitions(docs: DataFrame) -> DataFrame:
-    """Rates of transition phrases: a phrase counts once a sentence, wherever it stands; initial ones begin it."""
+    """Rates of transition phrases, English and Greek: a phrase counts once a sentence, wherever it stands (some only where they begin it); initial ones begin it."""
     s = S.sentence_table(docs).withColumn("t", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
     phrases = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(p).alias("p")) for c, p in L.PHRASES])
-    h = s.select("doc_id", "idx", "t", F.lower("s").alias("low"), F.explode(phrases).alias("x")).where(F.col("t").contains(F.concat(F.lit(" "), F.col("x.p"), F.lit(" "))))
+    h = s.select("doc_id", "idx", "t", T.fold(F.col("s")).alias("low"), F.explode(phrases).alias("x")).where(F.col("t").contains(F.concat(F.lit(" "), F.col("x.p"), F.lit(" "))))
+    h = h.where(~F.col("x.p").isin(L.INITIAL_ONLY) | F.col("t").startswith(F.concat(F.lit(" "), F.col("x.p"), F.lit(" "))))
     h = h.select("doc_id", "idx", "x.c", "x.p", F.col("t").startswith(F.concat(F.lit(" "), F.col("x.p"), F.lit(" "))).alias("first"), F.col("low").contains(F.concat(F.col("x.p"), F.lit(","))).alias("comma"))
     counts = [F.count_if(F.col("c") == c).cast("double").alias(f"c_{c}") for c in L.TRANSITIONS]
     per = h.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if("first").alias("k1"), F.count_if("comma").alias("kc"), F.countDistinct("p").alias("types"), F.countDistinct("idx").alias("any"), *counts)

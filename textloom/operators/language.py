@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.langlabels import LANGUAGES
+from textloom.functions.langlabels import DETECTED
 from textloom.functions.stopwords import STOPWORDS
 
 
@@ -16,7 +16,7 @@ def detect_language(docs: DataFrame) -> DataFrame:
     language with the largest share of its stop words among the first 3000
     words, ``und`` under 0.08; confidence is that share over 0.35, at most 1.
     """
-    latin = [k for k in LANGUAGES if k != "el"]
+    latin = [k for k in DETECTED if k != "el"]
     rows = docs.withColumn("_n", F.length(F.regexp_replace("text", r"[^\p{L}]", ""))).withColumn("_g", F.length(F.regexp_replace("text", r"[^\p{IsGreek}]", "")))
     rows = rows.withColumn("_w", F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)), 1, 3000))
 

@@ -133,6 +133,26 @@ def matching_words(runs: DataFrame) -> DataFrame:
     return r.groupBy("key", "ref").agg(F.max("length").alias("longest"), F.sum(new).alias("words"))
 
 
+def sentence_matches(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
+    """(key, ref, i, j, similarity): for each sentence i of a text, its best sentence j of a reference, from ``least`` on.
+
+    The cosine of word counts; ties go to the earlier sentence.  pairs: (key,
+    ref); left, right: (key, idx, w).  Sentences meet by pair and word.
+    """
+
+    def counted(t: DataFrame) -> DataFrame:
+        words = t.select("key", "idx", F.explode_outer("w").alias("word")).where("word is not null").groupBy("key", "idx", "word").agg(F.count("*").cast("double").alias("c"))
+        norm = words.groupBy("key", "idx").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
+        return words.join(norm, ["key", "idx"])
+
+    a = counted(left).select("key", F.col("idx").alias("i"), "word", F.col("c").alias("ci"), F.col("n").alias("ni"))
+    b = counted(right).select(F.col("key").alias("ref"), F.col("idx").alias("j"), "word", F.col("c").alias("cj"), F.col("n").alias("nj"))
+    met = pairs.select("key", "ref").join(a, "key").join(b, ["ref", "word"])
+    sims = met.groupBy("key", "ref", "i", "j").agg((F.sum(F.col("ci") * F.col("cj")) / (F.first("ni") * F.first("nj"))).alias("s")).withColumn("similarity", r6(F.col("s"))).where(F.col("similarity") >= least)
+    best = sims.groupBy("key", "ref", "i").agg(F.max(F.struct("similarity", (-F.col("j")).alias("j"))).alias("m"))
+    return best.select("key", "ref", "i", (-F.col("m.j")).alias("j"), F.col("m.similarity").alias("similarity"))
+
+
 def similarity_report(texts: DataFrame, key: str, library: DataFrame, ref: str, top: int = 10, hashed=_hash) -> DataFrame:
     """(key, ref, shared, containment5, longest, words, score): each text's best ``top`` references by score.
 

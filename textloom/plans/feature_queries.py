@@ -137,7 +137,7 @@ _PH = ", ".join(f"{{'c': '{c}', 'p': '{p}'}}" for c, p in L.PHRASES)
 
 @query(
     "q_transitions",
-    f"""with {P.SENTS}, t as (select doc_id, idx, s, ' ' || array_to_string(w, ' ') || ' ' as t from s), ph as (select unnest([{_PH}]) as x), h as (select doc_id, idx, x.c as c, x.p as p, starts_with(t, ' ' || x.p || ' ') as f, contains(lower(s), x.p || ',') as k from t cross join ph where contains(t, ' ' || x.p || ' ')),
+    f"""with {P.SENTS}, t as (select doc_id, idx, s, ' ' || array_to_string(w, ' ') || ' ' as t from s), ph as (select unnest([{_PH}]) as x), h as (select doc_id, idx, x.c as c, x.p as p, starts_with(t, ' ' || x.p || ' ') as f, contains({P.fold('s')}, x.p || ',') as k from t cross join ph where contains(t, ' ' || x.p || ' ') and (not list_contains({_in(L.INITIAL_ONLY)}, x.p) or starts_with(t, ' ' || x.p || ' '))),
 n as (select doc_id, count(*) as ns from s group by doc_id), per as (select doc_id, idx, count(*) as k from h group by 1, 2), g as (select doc_id, lead(idx) over (partition by doc_id order by idx) - idx as gap from per), gc as (select doc_id, case when count(*) >= 3 then {_cv('gap', 1)} end as tra_gap_cv from g group by doc_id),
 a as (select doc_id, count(*) as total, count(*) filter (where f) as f, count(*) filter (where k) as k, count(distinct p) as types, count(distinct idx) as with_any, {', '.join(f"count(*) filter (where c = '{c}')::double as c_{c}" for c in L.TRANSITIONS)} from h group by doc_id),
 z as (select n.doc_id, ns, coalesce(total, 0) as total, f, k, types, coalesce(with_any, 0) as wa, {', '.join(f'coalesce(c_{c}, 0) as c_{c}' for c in L.TRANSITIONS)}, case when total >= 2 then [{', '.join(f'c_{c}' for c in L.TRANSITIONS)}] end as cats from n left join a using (doc_id))

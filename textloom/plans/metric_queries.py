@@ -167,7 +167,7 @@ def q_disagreement(spark, sf_dir):
     s = scored(spark, sf_dir).where("share is not null")
     mean = (F.col("p") + F.col("share")) / 2
     s = s.withColumn("spread", F.round(F.sqrt(((F.col("p") - mean) ** 2 + (F.col("share") - mean) ** 2) / 2), 6))
-    med = s.agg(F.percentile("spread", 0.5).alias("med"))
+    med = s.groupBy("spread").agg(F.count("*").alias("c")).agg(F.percentile("spread", 0.5, F.col("c")).alias("med"))
     return s.crossJoin(F.broadcast(med)).groupBy((F.col("spread") > F.col("med")).alias("disagree")).agg(F.count("*").alias("n"), F.round(F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double")), 6).alias("accuracy"), F.round(F.max("spread"), 6).alias("widest"))
 
 
@@ -201,7 +201,8 @@ def q_perturbed_vs_reference(spark, sf_dir):
 @query("q_conservative", f"with {_SCORED}, t as (select round(quantile_cont(p, 0.99), 6) as t from sc where y = 0) select t as threshold, count(*) filter (where y = 0 and p >= t) as false_alarms, round(count(*) filter (where y = 1 and p >= t) / nullif(count(*) filter (where y = 1), 0), 6) as recall from sc cross join t group by t")
 def q_conservative(spark, sf_dir):
     s = scored(spark, sf_dir)
-    t = s.where("y = 0").agg(F.round(F.percentile("p", 0.99), 6).alias("threshold"))
+    # from counts of scores: as many rows as there are different scores of six digits
+    t = s.where("y = 0").groupBy(F.round("p", 6).alias("p")).agg(F.count("*").alias("c")).agg(F.round(F.percentile("p", 0.99, F.col("c")), 6).alias("threshold"))
     over = F.col("p") >= F.col("threshold")
     ones = F.count_if(F.col("y") == 1)
     return s.crossJoin(F.broadcast(t)).groupBy("threshold").agg(F.count_if((F.col("y") == 0) & over).alias("false_alarms"), F.round(F.count_if((F.col("y") == 1) & over) / F.when(ones > 0, ones), 6).alias("recall"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import lexicons as L
 from textloom.functions import text as T
-from textloom.functions.langlabels import LANGUAGES
+from textloom.functions.langlabels import DETECTED
 from textloom.functions.stopwords import STOPWORDS
 from textloom.operators import sentencetable as S
 from textloom.plans import sqlparts as P
@@ -30,7 +30,7 @@ def q_fold_diacritics(spark, sf_dir):
 
 
 _NORMALIZE_SQL = f"translate(translate(regexp_replace(text, '\\r\\n?', chr(10), 'g'), {P.q(T.INVISIBLE)}, ''), {P.q(T.MARKS)}, {P.q(T.PLAIN_MARKS)})"
-for _pattern, _to in ((r"(\d)[‐-–](\d)", r"'\1-\2'"), (r"[ \t]*(?:—|–|--)[ \t]*", "' — '"), (r"(?m)^[ \t]*[•●▪*][ \t]+", "'- '"), (r"[ \t]{2,}", "' '"), (r"[ \t]+\n", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''")):
+for _pattern, _to in ((r"(\d)[‐-–](\d)", r"'\1-\2'"), (r"[ \t]*(?:—|–|--)[ \t]*", "' — '"), (r"(?m)^[ ,;]+", "''"), (r"([.!?])[;,]+(\s|$)", r"'\1\2'"), (r",(?:\s*,)+", "','"), (r" +([,;:])", r"'\1'"), (r"(?m)^[ \t]*[•●▪*][ \t]+", "'- '"), (r"[ \t]{2,}", "' '"), (r"[ \t]+\n", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''")):
     _NORMALIZE_SQL = f"regexp_replace({_NORMALIZE_SQL}, '{_pattern}', {_to}, 'g')"
 
 
@@ -105,8 +105,8 @@ def _hits_sql(k: str) -> str:
 @query(
     "q_language_detect",
     f"""with {P.DOCS}, x as (select doc_id, lang, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) as n, length(regexp_replace(text, '[^\\p{{Greek}}]', '', 'g')) as g, list_transform(regexp_extract_all(lower(text), '\\p{{L}}+')[1:3000], lambda v: replace(v, 'ς', 'ς')) as w from d),
-y as (select doc_id, n, g, [{', '.join(_hits_sql(k) + ' / greatest(len(w), 1)' for k in LANGUAGES if k != 'el')}] as r from x)
-select doc_id, case when n < 20 then 'und' when g * 2 >= n then 'el' when list_max(r) < 0.08 then 'und' else ['en', 'fr', 'de', 'es', 'it'][list_position(r, list_max(r))] end as guess,
+y as (select doc_id, n, g, [{', '.join(_hits_sql(k) + ' / greatest(len(w), 1)' for k in DETECTED if k != 'el')}] as r from x)
+select doc_id, case when n < 20 then 'und' when g * 2 >= n then 'el' when list_max(r) < 0.08 then 'und' else ['en', 'fr', 'de', 'es', 'it', 'pt', 'nl'][list_position(r, list_max(r))] end as guess,
 case when n < 20 then 0.0 when g * 2 >= n then round(g / n, 6) when list_max(r) < 0.08 then 0.0 else round(least(1.0, list_max(r) / 0.35), 6) end as confidence from y""",
 )
 def q_language_detect(spark, sf_dir):

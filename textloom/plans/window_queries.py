@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicons as L
+from textloom.functions import text as T
 from textloom.operators import sentencetable as S
 from textloom.operators import similarity as M
 from textloom.operators import windows as W
@@ -241,6 +242,25 @@ def q_tfidf_cosine(spark, sf_dir):
     return M.tfidf_cosine(pairs, M.tokens(s, "id"), M.tokens(r, "ref_id"))
 
 
+def _sentences_sql(name: str, source: str) -> str:
+    """Sentences of whole texts, by marks alone."""
+    return f"{name} as (select key, generate_subscripts(ss, 1) - 1 as idx, unnest(ss) as s from (select key, {P.sentences('text')} as ss from {source}))"
+
+
+_MATCH = f"""{_CAND}, top as (select key, ref from (select *, row_number() over (partition by key order by shared desc, ref) as rank from cd) where rank <= 10), ta as (select id as key, any_value(text) as text from samples where id is not null and text is not null group by id), tb as (select id as key, text from reference_docs where id is not null and text is not null), {_sentences_sql('sa', 'ta')}, {_sentences_sql('sb', 'tb')},
+wa as (select key, idx, word, count(*)::double as c from (select key, idx, unnest({P.words('s')}) as word from sa) group by 1, 2, 3), wb as (select key, idx, word, count(*)::double as c from (select key, idx, unnest({P.words('s')}) as word from sb) group by 1, 2, 3), na as (select key, idx, sqrt(sum(c * c)) as n from wa group by 1, 2), nb as (select key, idx, sqrt(sum(c * c)) as n from wb group by 1, 2),
+dt as (select top.key, ref, wa.idx as i, wb.idx as j, sum(wa.c * wb.c) as d from top join wa on wa.key = top.key join wb on wb.key = top.ref and wb.word = wa.word group by 1, 2, 3, 4), sm_ as (select dt.*, round(d / (na.n * nb.n), 6) as similarity from dt join na on na.key = dt.key and na.idx = i join nb on nb.key = dt.ref and nb.idx = j)"""
+
+
+@query("q_sentence_matches", f"with {_MATCH} select key, ref, i, j, similarity from (select *, row_number() over (partition by key, ref, i order by similarity desc, j) as rn from sm_ where similarity >= 0.8) where rn = 1")
+def q_sentence_matches(spark, sf_dir):
+    """Of each text and the ten references that share most fingerprints with it, as a report gives them."""
+    s, r = _lib(spark, sf_dir)
+    pairs = M.candidates(M.winnow(s, "id", hashed=_md5), M.winnow(r, "ref_id", hashed=_md5), 10)
+    split = lambda t, k: t.where(F.col(k).isNotNull() & F.col("text").isNotNull()).select(F.col(k).alias("key"), F.posexplode_outer(T.sentences(F.col("text"))).alias("idx", "s")).where("idx is not null").select("key", "idx", T.words(F.col("s")).alias("w"))
+    return M.sentence_matches(pairs, split(s, "id"), split(r, "ref_id"))
+
+
 @query("q_similarity_report", f"""with {_RUNS}, tt as (select key, count(*) as n from gs group by 1), mi as (select key, g, count(*) as c from gs group by 1, 2), th as (select distinct key, g from gr), hh as (select cd.key, ref, sum(c) as k from cd join mi on mi.key = cd.key join th on th.key = ref and th.g = mi.g group by 1, 2),
 lg as (select key, ref, max(length) as longest from rn group by 1, 2), wd as (select key, ref, count(distinct p) as words from (select key, ref, unnest(range(start, start + length)) as p from rn) group by 1, 2),
 sx as (select cd.key, cd.ref, shared, round(coalesce(k, 0) / n, 6) as containment5, coalesce(longest, 0)::bigint as longest, coalesce(words, 0)::bigint as words, len(w) as size from cd join ls on ls.key = cd.key left join tt on tt.key = cd.key left join hh on hh.key = cd.key and hh.ref = cd.ref left join lg on lg.key = cd.key and lg.ref = cd.ref left join wd on wd.key = cd.key and wd.ref = cd.ref),
