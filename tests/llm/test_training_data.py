@@ -262,6 +262,23 @@ def test_split_of_nothing(spark):
     assert splitplan.assign_splits(one, _targets(spark)).count() == 1
 
 
+def test_splits_and_mixes_of_the_tables(spark, sf_dir):
+    """Invariants on the tables: groups whole, shares met, no document beyond its repeats."""
+    at = sf_dir.replace("sf0.001", "sf0.01")
+    s = spark.read.parquet(f"{at}/samples.parquet").where("id is not null").select("id", F.lower(F.trim("group_id")).alias("g")).dropDuplicates(["id"])
+    got = queries.queries()["p4_assignment"](spark, at)
+    assert got.groupBy("plan_name", "id").count().where("count > 1").count() == 0
+    joined = got.join(s, "id")
+    assert joined.where("g <> ''").groupBy("plan_name", "g").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+    total = s.count()
+    shares = {(r.plan_name, r.split): r["count"] / total for r in got.groupBy("plan_name", "split").count().collect()}
+    for r in spark.read.parquet(f"{at}/split_targets.parquet").collect():
+        assert abs(shares[r.plan_name, r.split] - r.share) < 0.01
+    uses = queries.queries()["p8_uses"](spark, at).groupBy("mix_name", "source").agg(F.max("uses").alias("most"))
+    goal = spark.read.parquet(f"{at}/mix_targets.parquet").select("mix_name", F.lower(F.trim("source")).alias("source"), "max_repeats")
+    assert uses.count() > 0 and uses.join(goal, ["mix_name", "source"], "left").where("max_repeats is null or most > max_repeats").count() == 0
+
+
 TEXTS = {
     "en": "The road to the village was closed because of the snow, and nobody knew when it would open again.",
     "el": "Ο δρόμος για το χωριό ήταν κλειστός λόγω του χιονιού και κανείς δεν ήξερε πότε θα άνοιγε ξανά.",

@@ -90,12 +90,17 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitplan.split_report(table(spark, sf_dir, "samples"), table(spark, sf_dir, "split_targets"))
 
 
+def _mix_spec(spark: SparkSession) -> mixture.MixSpec:
+    """The vocabulary's path by the session's setting, where there is one."""
+    return mixture.MixSpec(tokenizer=spark.conf.get("spark.textloom.tokenizer", mixture.MixSpec.tokenizer))
+
+
 def p8_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixture.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), _mix_spec(spark))
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixture.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), _mix_spec(spark))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
