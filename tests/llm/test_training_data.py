@@ -491,3 +491,26 @@ def test_nothing_else_imports_the_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"textloom\.llm|from \.llm", p.read_text())
+
+
+def test_many_diagonals_equal_one_by_one():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        own, doc = rng.integers(0, 3, rng.integers(12, 40)).astype(np.uint64), rng.integers(0, 3, rng.integers(12, 90)).astype(np.uint64)
+        shifts = np.arange(-len(own) + 1, len(doc))
+        longest, best = 0, (0, 0)
+        for shift in shifts.tolist():
+            s, e = max(0, -shift), min(len(own), len(doc) - shift)
+            eq = own[s:e] == doc[s + shift : e + shift]
+            longest = max(longest, leaks._longest_true(eq))
+            matched, changed = leaks._best_overlap(eq, 3)
+            best = max(best, (matched, -changed))
+        assert leaks._overlaps(own, doc, shifts, 3) == (longest, best[0], -best[1])
+
+
+def test_common_ends_are_taken_off():
+    a = ["x"] * 60_000
+    assert pairdefects.lcs_length(a, a) == 60_000 and pairdefects.lcs_length(a[:50] + ["y"] + a, a) == 60_000
+    assert pairdefects.aligned(a, a[:-1] + ["z"]) and not pairdefects.aligned(["u", "v"] * 5000, ["w"] * 10_000)

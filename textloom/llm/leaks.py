@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from textloom.functions.tokenarrays import TokenBatch, masked_hashes
 
 _U = np.uint64
+#: Diagonals of a document and an item from which they are compared all at once.
+MANY = 200
 
 
 @dataclass(frozen=True)
@@ -75,6 +77,41 @@ def _best_overlap(eq: np.ndarray, mismatch: int) -> tuple[int, int]:
     return matched, end - start - matched
 
 
+def _overlaps(own: np.ndarray, doc: np.ndarray, shifts: np.ndarray, mismatch: int) -> tuple[int, int, int]:
+    """(longest run, matched, substituted) over many diagonals at once, as the two functions above give them one by one."""
+    run, longest, score, best, now, gone, matched, changed = np.zeros((8, len(shifts)), np.int64)
+    for j, token in enumerate(own):
+        at = shifts + j
+        there = (at >= 0) & (at < len(doc))
+        eq = there & (doc[np.clip(at, 0, len(doc) - 1)] == token)
+        run = np.where(eq, run + 1, 0)
+        longest = np.maximum(longest, run)
+        score += np.where(eq, 1, np.where(there, -mismatch, 0))
+        now += eq
+        gone += there & ~eq
+        low = score <= 0
+        score[low], now[low], gone[low] = 0, 0, 0
+        up = score > best
+        best = np.where(up, score, best)
+        matched, changed = np.where(up, now, matched), np.where(up, gone, changed)
+    good = (longest >= 0) & (matched > 0)
+    if not good.any():
+        return 0, 0, 0
+    top = np.lexsort((-changed, matched))[-1]
+    return int(longest.max()), int(matched[top]), int(changed[top])
+
+
+def _distinct(hits: np.ndarray) -> np.ndarray:
+    """Distinct columns (document, item, shift), in order; as one number each where that fits."""
+    low, high = hits.min(axis=1), hits.max(axis=1)
+    size = [int(x) for x in high - low + 1]
+    if size[0] * size[1] * size[2] >= 1 << 62:
+        return np.unique(hits, axis=1)
+    key = np.unique(((hits[0] - low[0]) * size[1] + hits[1] - low[1]) * size[2] + hits[2] - low[2])
+    pair, shift = np.divmod(key, size[2])
+    return np.stack([pair // size[1] + low[0], pair % size[1] + low[1], shift + low[2]])
+
+
 def _gathered(batches, rows: int):
     """Batches of about ``rows`` rows."""
     held, n = [], 0
@@ -119,9 +156,19 @@ def _stage(blocks, key: str, spec: LeakSpec):
                     hits.append(np.stack([text[w], item[k], place - at[k]]))
                 if not hits:
                     continue
-                found = np.unique(np.concatenate(hits, axis=1), axis=1)
+                found = _distinct(np.concatenate(hits, axis=1))
                 rows: dict[tuple[int, int], tuple[int, int, int]] = {}
-                for d, i, shift in found.T.tolist():
+                pair = np.flatnonzero(np.concatenate([[True], (found[:2, 1:] != found[:2, :-1]).any(axis=0)]))
+                times = np.diff(np.append(pair, found.shape[1]))
+                for k in np.flatnonzero(times > MANY):  # texts that repeat themselves
+                    lo, hi = int(pair[k]), int(pair[k] + times[k])
+                    d, i = int(found[0, lo]), int(found[1, lo])
+                    doc = tokens.hashes[tokens.offsets[d] : tokens.offsets[d + 1]]
+                    own = items.hashes[items.offsets[i] : items.offsets[i + 1]]
+                    longest, matched, changed = _overlaps(own, doc, found[2, lo:hi], spec.mismatch)
+                    if longest >= spec.run or matched - spec.mismatch * changed >= spec.run:
+                        rows[d, i] = (longest, matched, changed)
+                for d, i, shift in found[:, np.repeat(times <= MANY, times)].T.tolist():
                     doc = tokens.hashes[tokens.offsets[d] : tokens.offsets[d + 1]]
                     own = items.hashes[items.offsets[i] : items.offsets[i + 1]]
                     s, e = max(0, -shift), min(len(own), len(doc) - shift)

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +72,17 @@ LEAST_MARGIN = 14.0
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, by bits: one row of the table is one integer."""
+    """Length of the longest common subsequence, by bits: one row of the table is one integer.
+
+    What both begin and end with is common in any case and taken off first.
+    """
+    most, lo, hi = min(len(a), len(b)), 0, 0
+    while lo < most and a[lo] == b[lo]:
+        lo += 1
+    while hi < most - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    if lo + hi:
+        return lo + hi + (lcs_length(a[lo : len(a) - hi], b[lo : len(b) - hi]) if lo + hi < most else 0)
     places: dict[str, int] = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
@@ -137,8 +147,9 @@ def aligned(source: list, answer: list, of_source: float = 0.85, of_answer: floa
     """The answer gives the source back whole: the common subsequence covers both."""
     if not source or not answer or len(source) * of_source > len(answer) or len(answer) * of_answer > len(source):
         return False
-    n = lcs_length(source, answer)
-    return n >= of_source * len(source) and n >= of_answer * len(answer)
+    least = max(of_source * len(source), of_answer * len(answer))
+    # no more than what both have at all, in whatever order
+    return sum((Counter(source) & Counter(answer)).values()) >= least and lcs_length(source, answer) >= least
 
 
 def prompt_parts(prompt: str) -> tuple[str, str]:
