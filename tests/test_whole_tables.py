@@ -30,3 +30,15 @@ def test_entities_are_undone_over_all_documents(spark, tmp_path):
 def test_bootstrap_draws_five_hundred(spark):
     rows = spark.createDataFrame([(f"g{i}", i % 2, (i * 37 % 50) / 50 + i % 2 * 0.2) for i in range(60)], "g string, y int, p double")
     assert M.bootstrap_auc(rows, "g").first().n_valid == 500
+
+
+def test_quantiles_with_a_half_at_the_seventh_digit_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    values = [(f"f{k}", 0, (k * 7919 + i * i * 104729 % 9999991) / 1e6) for k in range(60) for i in range(2 + k % 9 * 4)]
+    got = {r.feature: r.quantiles for r in M.population_stats(spark.createDataFrame(values, "feature string, y int, value double")).collect()}
+    con = duckdb.connect()
+    con.sql("create table v (feature varchar, value double)")
+    con.executemany("insert into v values (?, ?)", [(f, v) for f, _, v in values])
+    want = con.sql(f"select feature, list_transform(quantile_cont(value, [{', '.join(str(i / 20) for i in range(21))}]), lambda v: round(v, 6)) from v group by 1 having count(*) >= 5").fetchall()
+    assert got == dict(want)

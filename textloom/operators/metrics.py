@@ -168,13 +168,37 @@ def feature_audit(long: DataFrame, least_rows: int = 50, least_auc: float = 0.9,
     return auc.join(n.where((F.col("n") >= least_rows) & (F.col("k") == 2)), ["domain", "feature"]).where(F.col("auc") >= least_auc).select("domain", "feature", F.round("auc", 6).alias("auc"), "n").orderBy(F.desc("auc"), "domain", "feature").limit(top)
 
 
+def _fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, rounded once (Dekker's product, Knuth's sum)."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        return high, x - high
+
+    (a1, a2), (b1, b2), p = halves(a), halves(b), a * b
+    s = p + c
+    d = s - p
+    return s + ((p - (s - d)) + (c - d) + ((a1 * b1 - p + a1 * b2 + a2 * b1) + a2 * b2))
+
+
 def population_stats(long: DataFrame, least: int = 5) -> DataFrame:
-    """(feature, y, n, mean, std, quantiles): per feature and label, 21 quantiles from 0 to 1; exact, from value counts."""
+    """(feature, y, n, mean, std, quantiles): per feature and label, 21 quantiles from 0 to 1; exact, from value counts.
+
+    A quantile between two values is lower * (1 - part) + upper * part with one
+    rounding of the sum, as the SQL has it: a half at the seventh digit would
+    else fall either way.
+    """
     counts = long.where("value is not null and y is not null").groupBy("feature", "y", F.round("value", 6).alias("value")).agg(F.count("*").alias("c"))
-    qs = F.array(*[F.lit(i / 20) for i in range(21)])
+    group = Window.partitionBy("feature", "y")
+    counts = counts.withColumns({"upto": F.sum("c").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "all": F.sum("c").over(group)})
     n = F.sum("c")
     mean = F.sum(F.col("value") * F.col("c")) / n
-    return counts.groupBy("feature", "y").agg(n.alias("n"), F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("value") ** 2 * F.col("c")) / n - mean * mean)), 5).alias("std"), F.transform(F.percentile("value", qs, F.col("c")), lambda x: F.round(x, 6)).alias("quantiles")).where(F.col("n") >= least)
+    at = lambda k: F.max(F.when((F.col("upto") - F.col("c") <= k) & (k < F.col("upto")), F.col("value")))
+    spots = [(F.col("all") - 1) * F.lit(i / 20) for i in range(21)]
+    ends = F.array(*[F.struct(at(F.floor(s)).alias("lo"), at(F.ceil(s)).alias("hi"), F.max(s - F.floor(s)).alias("part")) for s in spots])
+    got = counts.groupBy("feature", "y").agg(n.alias("n"), F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("value") ** 2 * F.col("c")) / n - mean * mean)), 5).alias("std"), ends.alias("ends")).where(F.col("n") >= least)
+    raw = F.transform("ends", lambda x: F.when(x["part"] == 0, x["lo"]).otherwise(_fused(x["lo"], 1 - x["part"], x["hi"] * x["part"])))
+    return got.select("feature", "y", "n", "mean", "std", F.transform(raw, lambda x: F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6).alias("quantiles"))
 
 
 def percentile_in(value: Column, quantiles: Column) -> Column:
