@@ -194,3 +194,11 @@ def test_dedup_report_counts_stages(spark):
     rows = [("a", base, "train"), ("b", base, "test"), ("c", base + " more", "test"), ("d", "other words entirely in this one text", "calib"), ("e", None, "test")]
     df = spark.createDataFrame(rows, "id string, text string, split string")
     assert {r.split: (r.n, r.exact_removed, r.near_removed) for r in C.dedup_report(df, {"train": 0, "calib": 1, "test": 2}).collect()} == {"train": (1, 0, 0), "test": (2, 1, 1), "calib": (1, 0, 0)}
+
+
+def test_percentiles_stand_on_quantiles_rounded_as_in_sql(spark):
+    # the first quarter is 3.8407755, 3.840776 in SQL; rounded down, the second value would lie at 25
+    human = [1.0, 3.840775, 3.840777, 5.0, 6.0, 7.0]
+    rows = spark.createDataFrame(list(enumerate(human)), "doc_id int, pun_comma_rate double")
+    got = X.attribution(rows, rows.selectExpr("doc_id", "0 as y"), "doc_id", {"pun_comma_rate": 0.05})
+    assert {r.doc_id: r.human_percentile for r in got.collect()}[1] == 20
