@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from textloom.functions import hashedgrams as H
+from textloom.operators import postings as N
 from textloom.operators import similarity as I
 
 
@@ -31,3 +32,36 @@ def test_grams_of_a_batch_stay_within_their_texts():
     text, pos, h = H.hashed(w, 2)
     assert list(zip(text, pos)) == [(0, 0), (0, 1), (2, 0), (4, 0), (4, 1), (4, 2)]
     assert h[0] == h[4] and h[1] == h[2] == h[5] and len(set(h)) == 3
+
+
+def test_runs_by_files_and_by_a_join_are_those_of_brute_force(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    refs = {f"r{k}": [f"w{x}" for x in draw.integers(0, 9, 40)] for k in range(12)}
+    texts = {f"t{k}": [w for r, i in zip(draw.integers(0, 12, 4), draw.integers(0, 20, 4)) for w in [*refs[f"r{r}"][i : i + 12], "x"]] for k in range(20)} | {"none": [], "short": ["w1"]}
+    want = set()
+    for k, a in texts.items():
+        for r, b in refs.items():
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = next((m for m in range(min(len(a) - i, len(b) - j)) if a[i + m] != b[j + m]), min(len(a) - i, len(b) - j))
+                    if n >= 8 and (i == 0 or j == 0 or a[i - 1] != b[j - 1]):
+                        want.add((k, r, i, j, n))
+    left, right = (spark.createDataFrame(list(x.items()), "key string, w array<string>") for x in (texts, refs))
+    assert sorted(map(tuple, I.exact_runs(left, right).collect())) == sorted(want)
+    monkeypatch.setattr(N, "local_folder", lambda _: None)
+    assert sorted(map(tuple, I.exact_runs(left, right).collect())) == sorted(want)
+
+
+def test_islands_are_the_same_where_they_do_not_fit_a_word():
+    draw = np.random.default_rng(7)
+    rows = np.unique(draw.integers(0, 6, (400, 4)), axis=0)
+    small = N._islands(*rows.T)
+    wide = N._islands(rows[:, 0] << 40, rows[:, 1] << 40, rows[:, 2], rows[:, 3])
+    assert [(a >> 40, b >> 40, *x) for a, b, *x in zip(*wide)] == list(zip(*small))
+
+
+def test_parts_are_whole_texts(monkeypatch):
+    monkeypatch.setattr(N, "MET", 5)
+    text, count = np.array([0, 0, 1, 3, 3, 3, 4, 7]), np.array([2, 1, 2, 4, 4, 4, 1, 1])
+    assert [text[s].tolist() for s in N.in_parts(text, count)] == [[0, 0, 1], [3, 3, 3], [4, 7]]
+    assert list(N.in_parts(text[:0], count[:0])) == []
