@@ -65,3 +65,27 @@ def test_parts_are_whole_texts(monkeypatch):
     text, count = np.array([0, 0, 1, 3, 3, 3, 4, 7]), np.array([2, 1, 2, 4, 4, 4, 1, 1])
     assert [text[s].tolist() for s in N.in_parts(text, count)] == [[0, 0, 1], [3, 3, 3], [4, 7]]
     assert list(N.in_parts(text[:0], count[:0])) == []
+
+
+def test_candidates_by_files_and_by_a_join_are_those_of_brute_force(spark, monkeypatch):
+    from collections import Counter
+    from hashlib import md5
+
+    def prints(w):
+        h = [int(md5(" ".join(w[i : i + 5]).encode()).hexdigest()[:15], 16) for i in range(len(w) - 4)]
+        return {int(md5(" ".join(w).encode()).hexdigest()[:15], 16)} if 0 < len(w) < 5 else {min(h[i : i + 4]) for i in range(max(1, len(h) - 3))} if h else set()
+
+    draw = np.random.default_rng(9)
+    lines = [[f"w{x}" for x in draw.integers(0, 50, 9)] for _ in range(12)]
+    refs = {k * 7 % 31: [w for i in draw.integers(0, 12, 4) for w in lines[i]] for k in range(30)} | {90: ["a", "b"], 91: ["a"] * 6}
+    texts = {f"t{k}": [w for i in draw.integers(0, 12, 3) for w in [*lines[i], "x"]] for k in range(40)} | {"short": ["a", "b"], "six": ["a"] * 6, "none": []}
+    want = []
+    for k, w in texts.items():
+        shared = Counter({r: len(prints(w) & prints(x)) for r, x in refs.items()})
+        best = sorted((-n, r) for r, n in shared.items() if n)[:5]
+        want += [(k, r, -n, i + 1) for i, (n, r) in enumerate(best)]
+    left = spark.createDataFrame(list(texts.items()), "key string, w array<string>")
+    right = spark.createDataFrame(list(refs.items()), "key long, w array<string>")
+    assert sorted(map(tuple, I.candidates(left, right, 5).collect())) == sorted(want)
+    monkeypatch.setattr(N, "local_folder", lambda _: None)
+    assert sorted(map(tuple, I.candidates(left, right, 5).collect())) == sorted(want)
