@@ -35,9 +35,10 @@ def surprisals(docs: DataFrame) -> DataFrame:
     Words of a sentence are counted before the join on the word, which is
     what a frequent word costs there.
     """
-    per = S.word_table(docs).groupBy("doc_id", "idx", "word").agg(F.count("*").alias("c"))
-    freq = word_frequencies(docs).select("word", (-F.log2(F.greatest("f", F.lit(FLOOR)))).alias("x"))
-    return per.join(freq, "word").select("doc_id", "idx", "x", "c")
+    per = materialize(S.word_table(docs).groupBy("doc_id", "idx", "word").agg(F.count("*").alias("c")), "words")
+    n = per.groupBy("word").agg(F.sum("c").alias("n"))
+    freq = n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("word", (-F.log2(F.greatest(F.col("n") / F.col("total"), F.lit(FLOOR)))).alias("x"))  # one row
+    return materialize(per.join(freq, "word").select("doc_id", "idx", "x", "c"), "surprisals")
 
 
 def predictability(docs: DataFrame) -> DataFrame:
