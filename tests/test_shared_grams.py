@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from textloom.functions import hashedgrams as H
+from textloom.operators import features as X
 from textloom.operators import postings as N
 from textloom.operators import similarity as I
 
@@ -89,3 +90,10 @@ def test_candidates_by_files_and_by_a_join_are_those_of_brute_force(spark, monke
     assert sorted(map(tuple, I.candidates(left, right, 5).collect())) == sorted(want)
     monkeypatch.setattr(N, "local_folder", lambda _: None)
     assert sorted(map(tuple, I.candidates(left, right, 5).collect())) == sorted(want)
+
+
+def test_words_are_taken_apart_once_for_surprisals(spark, monkeypatch):
+    calls, table = [], X.S.word_table
+    monkeypatch.setattr(X.S, "word_table", lambda docs: calls.append(1) or table(docs))
+    X.surprisals(spark.createDataFrame([(1, "One two. Two three.")], "doc_id long, text string"))
+    assert len(calls) == 1
