@@ -202,3 +202,20 @@ def test_percentiles_stand_on_quantiles_rounded_as_in_sql(spark):
     rows = spark.createDataFrame(list(enumerate(human)), "doc_id int, pun_comma_rate double")
     got = X.attribution(rows, rows.selectExpr("doc_id", "0 as y"), "doc_id", {"pun_comma_rate": 0.05})
     assert {r.doc_id: r.human_percentile for r in got.collect()}[1] == 20
+
+
+def test_detectors_are_fitted_on_their_own_columns(spark, monkeypatch):
+    seen = []
+
+    class Recorder:
+        def __init__(self, columns):
+            self.columns = columns
+
+        def fit(self, rows):
+            seen.append(set(rows.columns) - {"y", "w"} == set(self.columns))
+
+    monkeypatch.setattr(E, "estimator", lambda kind, columns, n: Recorder(columns))
+    monkeypatch.setattr(E, "scored_by", lambda model, rows, kind, name: rows.withColumn(name, F.lit(0.5)))
+    rows = spark.createDataFrame([(i, i % 2, f"g{i}", 1.0, 2.0) for i in range(8)], "k int, y int, g string, a double, b double")
+    held, models = E.out_of_fold(rows, {"one": ("logistic", ["a"]), "both": ("boosting", ["a", "b"])}, "g", 2)
+    assert seen == [True] * 4 and held.count() == 8 and {k: len(v) for k, v in models.items()} == {"one": 2, "both": 2}
