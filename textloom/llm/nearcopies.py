@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.llm.classpairs import across, inside, packed, sizes
 from textloom.llm.setjoin import JoinSpec, identity, similar_classes
 from textloom.operators.components import connected_components
-from textloom.session import materialize
+from textloom.session import materialize, settle
 
 #: Near-duplicates by the project's statement: five-token windows, half of them shared.
 SPEC = JoinSpec(width=5, threshold=0.5)
@@ -37,14 +37,23 @@ def class_links(records: DataFrame, key: str = "id", text: str = "text", spec: J
 def near_duplicate_pairs(records: DataFrame, key: str = "id", text: str = "text", spec: JoinSpec = SPEC) -> DataFrame:
     """All pairs (id_a < id_b) of records whose texts are equal or similar enough."""
     links = materialize(class_links(records, key, text, spec).drop("similarity"), "links")
+    settle(records.sparkSession)
     who = members(records, key, text)
     ends = links.select(F.col("sig_a").alias("sig"), F.col("check_a").alias("check")).unionAll(links.select(F.col("sig_b").alias("sig"), F.col("check_b").alias("check"))).distinct()
     # only classes with a link or with two members have pairs
     wanted = sizes(who, CLASS).join(ends.withColumn("linked", F.lit(True)), CLASS, "left").where("linked or n > 1")
     packs = packed(who, wanted, CLASS)
+    settle(records.sparkSession)
     between = across(links, packs, packs, CLASS)
     pairs = between.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    return pairs.unionAll(inside(packs, CLASS)).distinct()
+    pairs = pairs.unionAll(inside(packs, CLASS))
+    # a pair comes twice only where one id has two texts; else nothing as large as the result is shuffled
+    return pairs.distinct() if _of_two_classes(packs) else pairs
+
+
+def _of_two_classes(packs: DataFrame) -> bool:
+    """Whether any id is in packs of more than one class."""
+    return not packs.select(F.explode("ids").alias("id")).groupBy("id").count().where("count > 1").isEmpty()
 
 
 def near_duplicate_groups(records: DataFrame, key: str = "id", text: str = "text", spec: JoinSpec = SPEC) -> DataFrame:

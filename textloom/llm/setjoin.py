@@ -16,7 +16,12 @@ decides how long lists are, the fronts follow from the threshold, and every
 candidate is verified on the texts.
 
 What is kept small: texts that are equal are one class from the start, and the
-inverted lists travel as packed blocks, some ten bytes a window.  Lists meet in
+inverted lists travel as packed blocks, some seven bytes a window: an entry
+names its text by task and row, and what is said of a text is looked up where
+lists meet (``textfiles``).  There pairs are cut to those whose windows'
+parities leave the threshold within reach, so that texts travel for few pairs
+beyond the similar ones.  Where the shared folder is no folder of the file
+system, entries say all of their texts and no pair is cut.  Lists meet in
 two rounds.  In the first, every list up to ``split`` entries meets where it
 lies; a longer one is handed on with its true length, cut into blocks, and its
 blocks meet in separate tasks of the second round.  Only such lists are
@@ -28,6 +33,7 @@ in the first round already.
 from __future__ import annotations
 
 import math
+import shutil
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,9 +44,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.tokenarrays import TokenBatch, mix64, window_hashes
-from textloom.session import materialize
+from textloom.llm.textfiles import Texts, Writer, new_folder, parities
+from textloom.session import materialize, settle
 
-_LIST = "bucket int, subset boolean, sigs binary, sizes binary, roles binary, counts binary, high binary, low binary, rank binary, side binary"
+#: docs: the texts' names in their files, else sigs, with sizes and roles.
+_LIST = "bucket int, subset boolean, docs binary, sizes binary, roles binary, counts binary, low binary, rank binary, side binary"
 _U = np.uint64
 
 
@@ -213,12 +221,24 @@ def light_boundary(hist: np.ndarray, mean_list: float, spec: JoinSpec) -> int:
 # --- pass 2: fronts of all sets, as packed inverted lists -------------------
 
 
-def _list_stage(spec: JoinSpec, light: int, buckets: int, alone: np.ndarray, shared):
-    """alone: see ``standing_out``."""
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """All first bytes, all second ones, ...: those that hardly change go into little when they are shuffled."""
+    x = np.ascontiguousarray(x, kind)
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    x = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(x.T).view(kind).reshape(-1)
+
+
+def _list_stage(spec: JoinSpec, light: int, buckets: int, alone: np.ndarray, shared, folder: str | None = None):
+    """alone: see ``standing_out``.  folder: where the texts' files go; None: entries say all."""
     tasks = np.maximum(1, np.ceil(alone / spec.per_bucket)).astype(np.uint64)
 
     def run(batches):
         codes, seen = shared.value, set()
+        files = Writer(folder) if folder else None
         shift = _U(64 - spec.sketch_bits)
         collected: dict[bool, list] = {False: [], True: []}
         for batch in _texts(batches):
@@ -235,6 +255,7 @@ def _list_stage(spec: JoinSpec, light: int, buckets: int, alone: np.ndarray, sha
                 continue
             texts = batch.column("text").take(pa.array(at)).to_pylist()
             sig, role = sig[at], role[at]
+            check = batch.column("check").to_numpy(zero_copy_only=False).astype(np.int64)[at]
             h, text = window_hashes(TokenBatch(texts), spec.width)
             code = codes[(h >> shift).astype(np.int64)]
             key = (code.astype(np.uint64) << _U(56)) | (h & _U((1 << 56) - 1))
@@ -247,33 +268,36 @@ def _list_stage(spec: JoinSpec, light: int, buckets: int, alone: np.ndarray, sha
             edge = np.searchsorted(text, np.arange(len(at) + 1))
             size = np.diff(edge)
             rank = np.arange(len(key)) - edge[text]
+            doc = files.add(sig, check, size, role, parities(key & _U((1 << 56) - 1), text, size)) if files else sig
             singles = (rank < spec.front(size, 1)[text]) & ((size > light) | (size > light * spec.threshold))[text]
-            collected[False].append(_entries(key[singles], text[singles], rank[singles], size, sig, role, tasks))
+            collected[False].append(_entries(key[singles], text[singles], rank[singles], size, doc, role, tasks))
             small = np.flatnonzero((size <= light) & (size > 1))
             if light and len(small):
-                collected[True].append(_subsets(key, edge, small, size, sig, role, spec))
+                collected[True].append(_subsets(key, edge, small, size, doc, role, spec))
             single = np.flatnonzero(size == 1) if light else []
             if len(single):  # a set of one window has no pair of windows; its partners have at most 1/t of them
-                collected[True].append(_subsets(key, edge, single, size, sig, role, spec, alone=True))
+                collected[True].append(_subsets(key, edge, single, size, doc, role, spec, alone=True))
             tiny = np.flatnonzero((size > 1) & (size <= min(light, int(1 / spec.threshold)))) if light else []
             if len(tiny):
-                collected[True].append(_subsets(key, edge, tiny, size, sig, role, spec, alone=True))
+                collected[True].append(_subsets(key, edge, tiny, size, doc, role, spec, alone=True))
+        if files:
+            files.close()
         for subset, parts in collected.items():
             if parts:
-                yield from _packed([np.concatenate(x) for x in zip(*parts)], subset, buckets, tasks)
+                yield from _packed([np.concatenate(x) for x in zip(*parts)], subset, buckets, tasks, not folder)
 
     return run
 
 
-def _entries(key, text, rank, size, sig, role, tasks):
+def _entries(key, text, rank, size, doc, role, tasks):
     """List entries. side is 0, or the counter's code for windows that stand out."""
     # the last step before the end of the front is a lower bound of the rank, in 1/256 of the size
     low_rank = np.minimum(255, rank * 256 // np.maximum(1, size[text])).astype(np.uint8)
     code = (key >> _U(56)).astype(np.uint8)
-    return key, sig[text], size[text].astype(np.uint32), role[text], low_rank, np.where(tasks[code] > 1, code, 0).astype(np.uint8)
+    return key, doc[text], size[text].astype(np.uint32), role[text], low_rank, np.where(tasks[code] > 1, code, 0).astype(np.uint8)
 
 
-def _subsets(key, edge, which, size, sig, role, spec: JoinSpec, alone: bool = False):
+def _subsets(key, edge, which, size, doc, role, spec: JoinSpec, alone: bool = False):
     """The fixed-size subsets of the fronts of light sets (with alone: the single windows)."""
     keys, owner = [], []
     fronts = spec.front(size, 1 if alone else 2)
@@ -288,28 +312,28 @@ def _subsets(key, edge, which, size, sig, role, spec: JoinSpec, alone: bool = Fa
             owner.append(np.full(len(a), i))
     owner = np.concatenate(owner)
     n = len(owner)
-    return np.concatenate(keys), sig[owner], size[owner].astype(np.uint32), role[owner], np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+    return np.concatenate(keys), doc[owner], size[owner].astype(np.uint32), role[owner], np.zeros(n, np.uint8), np.zeros(n, np.uint8)
 
 
-def _packed(columns, subset: bool, buckets: int, tasks: np.ndarray | None = None):
-    """Rows of packed lists by bucket. With tasks, a window that stands out is spread over so many buckets by its texts."""
-    key, sig, size, role, rank, side = columns
+def _packed(columns, subset: bool, buckets: int, tasks: np.ndarray | None = None, inline: bool = True):
+    """Rows of packed lists by bucket. With tasks, a window that stands out is spread over so many buckets by its texts. inline: entries say size and role."""
+    key, doc, size, role, rank, side = columns
     word = mix64(key & _U((1 << 56) - 1))
-    spread = mix64(sig.astype(np.uint64)) % tasks[side] if tasks is not None else _U(0)
+    spread = mix64(doc.astype(np.uint64)) % tasks[side] if tasks is not None else _U(0)
     bucket = (((word >> _U(40)) + spread) % _U(buckets)).astype(np.int64)
-    word &= _U((1 << 40) - 1)
-    order = np.lexsort((role, sig, bucket))
-    bucket, word, sig, size, role, rank, side = (x[order] for x in (bucket, word, sig, size, role, rank, side))
+    order = np.lexsort((role, doc, bucket))
+    bucket, word, doc, size, role, rank, side = (x[order] for x in (bucket, word, doc, size, role, rank, side))
     first = np.ones(len(word), bool)
-    first[1:] = (bucket[1:] != bucket[:-1]) | (sig[1:] != sig[:-1]) | (role[1:] != role[:-1])
-    doc = np.flatnonzero(first)
-    count = np.diff(np.append(doc, len(word))).astype("<u4")
+    first[1:] = (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1]) | (role[1:] != role[:-1])
+    text = np.flatnonzero(first)
+    count = np.diff(np.append(text, len(word)))
     rows: dict[str, list] = {x.split()[0]: [] for x in _LIST.split(", ")}
     for b in np.unique(bucket).tolist():
         lo, hi = np.searchsorted(bucket, (b, b + 1))
-        d0, d1 = np.searchsorted(doc, (lo, hi))
-        at = doc[d0:d1]
-        for name, value in (("bucket", b), ("subset", subset), ("sigs", sig[at].astype("<i8").tobytes()), ("sizes", size[at].astype("<u4").tobytes()), ("roles", role[at].tobytes()), ("counts", count[d0:d1].tobytes()), ("high", (word[lo:hi] >> _U(32)).astype(np.uint8).tobytes()), ("low", (word[lo:hi] & _U(0xFFFFFFFF)).astype("<u4").tobytes()), ("rank", rank[lo:hi].tobytes()), ("side", side[lo:hi].tobytes())):
+        d0, d1 = np.searchsorted(text, (lo, hi))
+        at = text[d0:d1]
+        said = (_planes(size[at], "<u4"), role[at].tobytes()) if inline else (b"", b"")
+        for name, value in zip(rows, (b, subset, _planes(doc[at], "<i8"), *said, _planes(count[d0:d1], "<u4"), (word[lo:hi] & _U(0xFFFFFFFF)).astype("<u4").tobytes(), rank[lo:hi].tobytes(), side[lo:hi].tobytes())):
             rows[name].append(value)
     kinds = {"bucket": pa.int32(), "subset": pa.bool_()}
     yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in rows.items()})
@@ -318,8 +342,8 @@ def _packed(columns, subset: bool, buckets: int, tasks: np.ndarray | None = None
 # --- the join: lists meet, bucket by bucket ---------------------------------
 
 
-_MET = "sig_a long, sig_b long, subset boolean, word binary, sig binary, size binary, role binary, rank binary, blocks binary"
-_HOT = {"word": "<u8", "sig": "<i8", "size": "<u4", "role": np.uint8, "rank": np.uint8, "blocks": "<u4"}
+_MET = "sig_a long, sig_b long, subset boolean, word binary, doc binary, size binary, role binary, rank binary, blocks binary"
+_HOT = {"word": "<u8", "doc": "<i8", "size": "<u4", "role": np.uint8, "rank": np.uint8, "blocks": "<u4"}
 
 
 def _handed_on(columns: dict[str, np.ndarray], subset: bool, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
@@ -329,15 +353,15 @@ def _handed_on(columns: dict[str, np.ndarray], subset: bool, rows: int = 100_000
         yield pa.RecordBatch.from_pydict({"sig_a": pa.array([None], pa.int64()), "sig_b": pa.array([None], pa.int64()), "subset": pa.array([subset]), **packed})
 
 
-def _spread_stage(spec: JoinSpec, buckets: int):
+def _spread_stage(spec: JoinSpec, buckets: int, inline: bool):
     """The blocks of long lists, each pair of blocks a list of its own; an entry goes to as many as its list has blocks."""
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                word, sig, size, role, rank, blocks = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in _HOT.items())
+                word, doc, size, role, rank, blocks = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in _HOT.items())
                 times = blocks.astype(np.int64)
-                mine = (mix64(sig.astype(np.uint64) ^ word) % blocks.astype(np.uint64)).astype(np.int64)
+                mine = (mix64(doc.astype(np.uint64) ^ word) % blocks.astype(np.uint64)).astype(np.int64)
                 step = max(1, spec.per_bucket * 4 // int(times.max()))
                 for lo in range(0, len(word), step):
                     part = slice(lo, lo + step)
@@ -346,44 +370,63 @@ def _spread_stage(spec: JoinSpec, buckets: int):
                     me, i, j = mine[rep], np.minimum(mine[rep], other), np.maximum(mine[rep], other)
                     cell = mix64(word[rep] ^ mix64((i.astype(np.uint64) << _U(32)) | (j + 1).astype(np.uint64)))
                     side = np.where(i == j, 2, np.where(me == i, 0, 1)).astype(np.uint8)
-                    yield from _packed((cell, sig[rep], size[rep], role[rep], rank[rep], side), bool(batch.column("subset")[k].as_py()), buckets)
+                    yield from _packed((cell, doc[rep], size[rep], role[rep], rank[rep], side), bool(batch.column("subset")[k].as_py()), buckets, inline=inline)
 
     return run
 
 
-def _meet_stage(spec: JoinSpec, light: int, alone: np.ndarray | None):
+def _meet_stage(spec: JoinSpec, light: int, alone: np.ndarray | None, folder: str | None):
     """Candidate pairs of the lists of one bucket.
 
     First round (with alone): lists beyond ``split``, and parts of lists that
     are spread over tasks, are handed on.  Second round (None): lists are
-    pairs of blocks, and only entries of different sides of them meet.
+    pairs of blocks, and only entries of different sides of them meet.  Copies
+    of a text are one entry of a list, whatever tasks they come from.
     """
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subset = key[1].as_py()
         parts: dict[str, list] = {}
-        kinds = {"sigs": "<i8", "sizes": "<u4", "roles": np.uint8, "counts": "<u4", "high": np.uint8, "low": "<u4", "rank": np.uint8, "side": np.uint8}
+        kinds = {"docs": "<i8", "sizes": "<u4", "roles": np.uint8, "counts": "<u4", "low": "<u4", "rank": np.uint8, "side": np.uint8}
         for b in batches:
             for k, kind in kinds.items():
-                parts.setdefault(k, []).extend(np.frombuffer(x.as_py(), kind) for x in b.column(k))
+                parts.setdefault(k, []).extend((_from_planes if k in ("docs", "sizes", "counts") else np.frombuffer)(x.as_py(), kind) for x in b.column(k))
         col = {k: np.concatenate(v) for k, v in parts.items()}
-        owner = np.repeat(np.arange(len(col["sigs"])), col["counts"])
-        word = (col["high"].astype(np.uint64) << _U(32)) | col["low"]
-        order = np.lexsort((col["sizes"][owner], word))
-        word, owner = word[order], owner[order]
-        sig, size, role = col["sigs"][owner], col["sizes"][owner].astype(np.int64), col["roles"][owner]
-        rank, side = col["rank"][order], col["side"][order]
+        doc, files = col["docs"], Texts(folder) if folder else None
+        sigs, checks, sizes, roles = files.about(doc) if files else (doc, np.zeros(len(doc), np.int64), col["sizes"].astype(np.int64), col["roles"])
+        order = np.lexsort((roles, checks, sigs))
+        new = np.zeros(len(doc), np.int64)
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (roles, checks, sigs)], axis=0)
+        name = np.zeros(len(doc), np.int64)
+        name[order] = np.cumsum(new)
+        owner = np.repeat(np.arange(len(doc)), col["counts"])
+        word = col["low"]
+        order = np.lexsort(((sizes * len(doc) + name)[owner], word))
+        word, owner, side = word[order], owner[order], col["side"][order]
+        fresh = np.ones(len(word), bool)
+        fresh[1:] = (word[1:] != word[:-1]) | (name[owner[1:]] != name[owner[:-1]]) | (side[1:] != side[:-1])
+        order, word, owner, side = (x[fresh] for x in (order, word, owner, side))
+        sig, size, role, rank = sigs[owner], sizes[owner], roles[owner], col["rank"][order]
+
+        def reached(found: list[np.ndarray]) -> np.ndarray:
+            """(sig_a, sig_b) of the pairs whose parities leave the threshold within reach."""
+            a, b = np.divmod(np.unique(np.concatenate(found)), len(doc))
+            if files:
+                ok = sizes[a] + sizes[b] - files.apart(doc, sizes, a, b) >= 2 * spec.least_overlap(sizes[a], sizes[b])
+                a, b = a[ok], b[ok]
+            return _unique_pairs([np.stack([np.minimum(sigs[a], sigs[b]), np.maximum(sigs[a], sigs[b])])])
+
         if alone is not None:
             edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             length = np.diff(np.append(edge, len(word)))
             entries = np.maximum(np.repeat(length, length), alone[side])
             hot = entries > spec.split
             if hot.any():
-                yield from _handed_on({"word": word[hot], "sig": sig[hot], "size": size[hot], "role": role[hot], "rank": rank[hot], "blocks": np.ceil(entries[hot] / spec.split)}, subset)
-                word, sig, size, role, rank = (x[~hot] for x in (word, sig, size, role, rank))
+                yield from _handed_on({"word": word[hot], "doc": doc[owner[hot]], "size": size[hot], "role": role[hot], "rank": rank[hot], "blocks": np.ceil(entries[hot] / spec.split)}, subset)
+                word, owner, sig, size, role, rank = (x[~hot] for x in (word, owner, sig, size, role, rank))
             side = np.full(len(word), 2, np.uint8)
         low_rank = rank.astype(np.int64) * size // 256
-        alive, step, found = np.arange(len(word) - 1), 1, []
+        alive, step, found, kept = np.arange(len(word) - 1), 1, [], []
         pending = 0
         while True:
             alive = alive[alive + step < len(word)]
@@ -403,16 +446,19 @@ def _meet_stage(spec: JoinSpec, light: int, alone: np.ndarray | None):
                 ok &= 1 + np.minimum(size[i] - low_rank[i], size[j] - low_rank[j]) - 1 >= need
             i, j = i[ok], j[ok]
             if len(i):
-                found.append(np.stack([np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])]))
+                found.append(np.minimum(owner[i], owner[j]) * len(doc) + np.maximum(owner[i], owner[j]))
                 pending += len(i)
             if pending > 4_000_000:
-                found = [_unique_pairs(found)]
-                if found[0].shape[1] > 1_000_000:
-                    yield _pair_batch(found.pop())
-                pending = sum(x.shape[1] for x in found)
+                kept.append(reached(found))
+                found, pending = [], 0
+                if sum(x.shape[1] for x in kept) > 1_000_000:
+                    yield _pair_batch(_unique_pairs(kept))
+                    kept = []
             step += 1
         if found:
-            yield _pair_batch(_unique_pairs(found))
+            kept.append(reached(found))
+        if kept:
+            yield _pair_batch(_unique_pairs(kept))
 
     return run
 
@@ -432,15 +478,23 @@ def _pair_batch(x: np.ndarray) -> pa.RecordBatch:
 
 
 def candidate_pairs(docs: DataFrame, spec: JoinSpec) -> DataFrame:
-    """Class pairs (sig_a < sig_b) whose fronts meet; a superset of the similar pairs."""
+    """Class pairs (sig_a < sig_b) whose fronts meet and whose parities don't tell them apart; a superset of the similar pairs."""
+    spark = docs.sparkSession
     order = corpus_order(docs, spec)
     alone = standing_out(order, spec)
-    shared = docs.sparkSession.sparkContext.broadcast(order.codes)  # 2**sketch_bits bytes, whatever the corpus
-    lists = docs.select("sig", "check", "role", "text").mapInArrow(_list_stage(spec, order.light, order.buckets, alone, shared), _LIST)
-    met = materialize(lists.groupBy("bucket", "subset").applyInArrow(_meet_stage(spec, order.light, alone), _MET), "met")
-    blocks = met.where("sig_a is null").mapInArrow(_spread_stage(spec, order.buckets), _LIST)
-    again = blocks.groupBy("bucket", "subset").applyInArrow(_meet_stage(spec, order.light, None), _MET)
-    return met.where("sig_a is not null").unionByName(again).select("sig_a", "sig_b").distinct()
+    folder = new_folder(spark)
+    shared = spark.sparkContext.broadcast(order.codes)  # 2**sketch_bits bytes, whatever the corpus
+    settle(spark)  # what was shuffled goes as soon as it is done with, here and below
+    lists = docs.select("sig", "check", "role", "text").mapInArrow(_list_stage(spec, order.light, order.buckets, alone, shared, folder), _LIST)
+    met = materialize(lists.groupBy("bucket", "subset").applyInArrow(_meet_stage(spec, order.light, alone, folder), _MET), "met")
+    settle(spark)
+    blocks = met.where("sig_a is null").mapInArrow(_spread_stage(spec, order.buckets, not folder), _LIST)
+    again = blocks.groupBy("bucket", "subset").applyInArrow(_meet_stage(spec, order.light, None, folder), _MET)
+    pairs = materialize(met.where("sig_a is not null").unionByName(again).select("sig_a", "sig_b").distinct(), "candidates")
+    if folder:
+        shutil.rmtree(folder, ignore_errors=True)
+    settle(spark)
+    return pairs
 
 
 # --- verification -----------------------------------------------------------
@@ -544,7 +598,7 @@ def similar_classes(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     no partners.  Repeated rows count once.  An empty table gives no rows.
     """
     sc = docs.sparkSession.sparkContext
-    pairs = materialize(candidate_pairs(docs, spec), "candidates")
+    pairs = candidate_pairs(docs, spec)
     bits = 23
     shared = sc.broadcast(class_filter(pairs, bits, spec.fan_in))
     texts = docs.select("sig", "check", "text").mapInArrow(_passing_stage(shared, bits), "sig long, check long, text string").repartition("sig").dropDuplicates(["sig", "check"])
